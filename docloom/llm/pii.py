@@ -1,0 +1,268 @@
+"""Format-preserving pseudonyms for personal data.
+
+Card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses, dates,
+telephone numbers, e-mail addresses and named secrets are found, validated, and replaced
+by a keyed permutation of the values of their format.  Equal values get equal pseudonyms
+in every document, whatever their separators, no value maps to itself, and the holder of
+the key can invert the mapping.  Numbers that fail their validation stay as they are.
+
+A null text stays null with no values; an empty one stays empty.  Each input row gives one
+row with all its other columns, in their order; equal texts give equal results.
+"""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import ipaddress
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from .common import table
+
+KEY = b"docloom demonstration key"
+ROUNDS = 8
+
+
+class Permutation:
+    """A keyed permutation of 0..n-1 without fixed points, for any n > 1.
+
+    A Feistel network over two unequal halves (a*b >= n) with cycle walking gives a
+    permutation P; the pseudonym is P^-1(P(x) + 1), which is never x.
+    """
+
+    def __init__(self, key: bytes, tweak: str, n: int):
+        self.n = n
+        a = int(n**0.5) if n < 1 << 52 else 1 << (n.bit_length() // 2)
+        self.a = max(2, a)
+        self.b = -(-n // self.a)
+        self.base = hashlib.blake2b(tweak.encode() + b"/" + str(n).encode(), key=hashlib.sha256(key).digest(), digest_size=32)
+
+    def _round(self, i: int, x: int, modulus: int) -> int:
+        h = self.base.copy()
+        h.update(b"%d:%d" % (i, x))
+        return int.from_bytes(h.digest(), "big") % modulus
+
+    def _forward(self, x: int) -> int:
+        left, right = divmod(x, self.b)
+        for i in range(0, ROUNDS, 2):
+            left = (left + self._round(i, right, self.a)) % self.a
+            right = (right + self._round(i + 1, left, self.b)) % self.b
+        return left * self.b + right
+
+    def _backward(self, x: int) -> int:
+        left, right = divmod(x, self.b)
+        for i in range(ROUNDS - 2, -1, -2):
+            right = (right - self._round(i + 1, left, self.b)) % self.b
+            left = (left - self._round(i, right, self.a)) % self.a
+        return left * self.b + right
+
+    def _walk(self, step: Callable[[int], int], x: int) -> int:
+        x = step(x)
+        while x >= self.n:
+            x = step(x)
+        return x
+
+    def apply(self, x: int) -> int:
+        return self._walk(self._backward, (self._walk(self._forward, x) + 1) % self.n)
+
+    def invert(self, x: int) -> int:
+        return self._walk(self._backward, (self._walk(self._forward, x) - 1) % self.n)
+
+
+def luhn_digit(payload: str) -> int:
+    """The check digit that makes ``payload`` + digit valid."""
+    total = sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(payload)))
+    return -total % 10
+
+
+def iban_check(country: str, bban: str) -> int:
+    """The check number of an IBAN, 2 to 98."""
+    return 98 - int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
+
+
+_LATIN_LOWER = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_LATIN_UPPER = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _LATIN_LOWER, _LATIN_UPPER)
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
+_DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
+
+PATTERN = re.compile(
+    r"""
+      (?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
+    | (?P<secret>\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\W{1,12}(?P<value>[A-Za-z0-9+/_-]{16,}={0,2}))
+    | (?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
+    | (?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)
+    | (?<![\w/.-])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[/.-]\d)
+    | (?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
+    | (?<![\w+])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?!\w|-\d)
+    | (?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w|-\d)
+    """,
+    re.VERBOSE,
+)
+_HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
+
+
+class Pseudonyms:
+    """Replacements under one key."""
+
+    def __init__(self, key: bytes = KEY):
+        self.key = key
+        self.known: dict[tuple[str, int], Permutation] = {}
+
+    def _permute(self, tweak: str, n: int, x: int) -> int:
+        if (tweak, n) not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[tweak, n] = Permutation(self.key, tweak, n)
+        return self.known[tweak, n].apply(x)
+
+    def _spelled(self, tweak: str, value: str, classes: tuple[str, ...] = _CLASSES) -> str:
+        """Each character changes within its class; others stay in place."""
+        kinds = [next((c for c in classes if x in c), "") for x in value]
+        n, x = 1, 0
+        for c, kind in zip(value, kinds, strict=True):
+            if kind:
+                n, x = n * len(kind), x * len(kind) + kind.index(c)
+        if n < 2:
+            return value
+        shape = "".join("-" if not k else k[0] for k in kinds)
+        x, out = self._permute(f"{tweak}:{shape}", n, x), []
+        for c, kind in zip(reversed(value), reversed(kinds), strict=True):
+            if kind:
+                x, i = divmod(x, len(kind))
+                c = kind[i]
+            out.append(c)
+        return "".join(reversed(out))
+
+    def _number(self, tweak: str, digits: str) -> str:
+        return f"{self._permute(f'{tweak}:{len(digits)}', 10 ** len(digits), int(digits)):0{len(digits)}d}"
+
+    @staticmethod
+    def _laid_out(original: str, digits: str) -> str:
+        """``digits`` in place of those of ``original``, separators kept."""
+        left = iter(digits)
+        return "".join(next(left) if c.isdigit() else c for c in original)
+
+    def email(self, s: str) -> str | None:
+        local, _, host = s.rpartition("@")
+        name, _, top = host.rpartition(".")
+        return f"{self._spelled('local', local)}@{self._spelled('host', name.lower())}.{top}"
+
+    def secret(self, s: str) -> str | None:
+        hexadecimal = next(((h,) for h in _HEX if all(c in h for c in s)), None)
+        return self._spelled("secret", s, hexadecimal or _CLASSES)
+
+    def iban(self, s: str) -> str | None:
+        flat = s.replace(" ", "")
+        country, check, bban = flat[:2], flat[2:4], flat[4:]
+        if not 15 <= len(flat) <= 34 or int(check) != iban_check(country, bban):
+            return None
+        new = self._spelled("iban" + country, bban)
+        left = iter(f"{country}{iban_check(country, new):02d}{new}")
+        return "".join(c if c == " " else next(left) for c in s)
+
+    def ip(self, s: str) -> str | None:
+        parts = [int(x) for x in s.split(".")]
+        if max(parts) > 255:
+            return None
+        return str(ipaddress.IPv4Address(self._permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))))
+
+    def date(self, s: str) -> str | None:
+        mark = "-" if "-" in s else "/" if "/" in s else "."
+        parts = s.split(mark)
+        a, b, c = (int(x) for x in parts)
+        orders = [(a, b, c)] if mark == "-" else [(c, b, a)] + [(c, a, b)] * (mark == "/")
+        for k, (year, month, day) in enumerate(orders):
+            try:
+                at = datetime.date(year, month, day).toordinal() - _FIRST_DAY
+            except ValueError:
+                continue
+            if not 0 <= at < _DAYS:
+                return None
+            new = datetime.date.fromordinal(_FIRST_DAY + self._permute("date", _DAYS, at))
+            if mark == "-":
+                return new.isoformat()
+            day_first = (f"{new.day:02d}", f"{new.month:02d}")
+            return mark.join([*(day_first if k == 0 else day_first[::-1]), f"{new.year:04d}"])
+        return None
+
+    def ssn(self, s: str) -> str | None:
+        area, group, serial = (int(x) for x in s.split("-"))
+        if not 0 < area < 900 or area == 666 or not group or not serial:
+            return None
+        dense = area - 1 - (area > 666)
+        x = self._permute("ssn", 898 * 99 * 9999, (dense * 99 + group - 1) * 9999 + serial - 1)
+        dense, rest = divmod(x, 99 * 9999)
+        return f"{dense + 1 + (dense >= 665):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+
+    def phone(self, s: str) -> str | None:
+        plus = re.match(r"\+\d{1,3}(?=[ .(-])", s)
+        prefix = plus[0] if plus else "+" if s[0] == "+" else ""
+        digits = re.sub(r"\D", "", s[len(prefix) :])
+        if not 7 <= len(digits) <= 14:
+            return None
+        return prefix + self._laid_out(s[len(prefix) :], self._number("phone", digits))
+
+    def card(self, s: str) -> str | None:
+        digits = re.sub(r"\D", "", s)
+        if luhn_digit(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
+            return None
+        new = self._number("card", digits[:-1])
+        return self._laid_out(s, new + str(luhn_digit(new)))
+
+    def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
+        """The rewritten text, and (kind, start, end in the old text, replacement) of each value."""
+        if not _HINT.search(text):
+            return text, []
+        out, spans, at = [], [], 0
+        for m in PATTERN.finditer(text):
+            kind = m.lastgroup if m.lastgroup != "value" else "secret"
+            start, end = m.span("value" if kind == "secret" else kind)
+            new = getattr(self, kind)(text[start:end])
+            if new is not None:
+                out += [text[at:start], new]
+                at = end
+                spans.append((kind, start, end, new))
+        return "".join([*out, text[at:]]), spans
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pseudonym", T.StringType())]))
+
+
+def pseudonymise(df: DataFrame, text_col: str = "text", spans_col: str | None = "pii_spans", key: bytes = KEY) -> DataFrame:
+    """``df`` with ``text_col`` rewritten; ``spans_col`` (None: left out) lists what was replaced.
+
+    A column of the same name as ``spans_col`` is replaced.  Nothing is shuffled.
+    """
+    kept = [f for f in df.schema.fields if f.name != spans_col]
+    at = [f.name for f in kept].index(text_col)
+    fields = kept + ([T.StructField(spans_col, _SPANS)] if spans_col else [])
+    names = [f.name for f in fields]
+    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pseudonyms(key)
+        for batch in batches:
+            done = [own.replace(t) if t else (t, []) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array([t for t, _ in done], pa.string())
+            if spans_col:
+                columns.append(pa.array([[dict(zip(("kind", "start", "end", "pseudonym"), s, strict=True)) for s in spans] for _, spans in done], span_type))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, T.StructType(fields))
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents``, pseudonymised, with what was replaced."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op9_pii_pseudonyms": op9_pii_pseudonyms}
+ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("media", "warc", "packing")
+MODULES = ("quality", "warc", "packing", "media", "pii")
 
 
 def queries() -> dict:
