@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("dedup", "quality", "warc", "packing", "media", "pii")
+MODULES = ("dedup", "quality", "warc", "packing", "media", "pii", "langid")
 
 
 def queries() -> dict:
