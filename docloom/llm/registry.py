@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "dedup", "quality", "warc", "packing", "media", "ann", "pii", "langid")
+MODULES = ("licenses", "dedup", "quality", "warc", "packing", "media", "pieces", "ann", "pii", "langid")
 
 
 def queries() -> dict:
