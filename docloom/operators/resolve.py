@@ -50,7 +50,8 @@ def wide_records(resolved: DataFrame) -> DataFrame:
     actuator = F.col("category") == C.CATEGORIES[1]
     columns = []
     for f, kind, _ in C.FIELDS:
-        c = F.split(F.col(f), r"\|") if kind == "array<string>" else F.col(f).try_cast(kind)
+        listed = F.when(F.col(f) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(f), r"\|"))
+        c = listed if kind == "array<string>" else F.col(f).try_cast(kind)
         columns.append((F.when(actuator, c) if f in C.ACTUATOR_FIELDS else c).alias(f))
     return wide.select("doc_id", *columns)
 

@@ -45,22 +45,23 @@ def tag_fields(documents: DataFrame) -> DataFrame:
 def regex_fields(documents: DataFrame) -> DataFrame:
     """(doc_id, field, value, confidence, source) by the rule extractors; names, categories
     and quantities are not guessed for controller data sheets."""
-    t = F.col("text")
-    brand, ref = R.brand(t), R.reference(t)
+    t, c = F.col("text"), F.col
+    # In steps, so that each match is made once and not again wherever it is used.
+    rows = documents.select("doc_id", "text").withColumns({"_brand": R.brand(t), "reference": R.reference(t), "_range": R.measuring_range(t), "_free": ~R.is_plc_datasheet(t)})
     locked = F.lit(False)
     for p in C.SIEMENS_PREFIXES:
-        locked = locked | F.startswith(F.upper(F.coalesce(ref["value"], F.lit(""))), F.lit(p))
-    maker = F.when(locked, F.struct(F.lit("Siemens").alias("value"), F.lit(1.0).alias("confidence"), ref["quote"].alias("quote"))).otherwise(brand)
-    free = ~R.is_plc_datasheet(t)
-    found = {
+        locked = locked | F.startswith(F.upper(F.coalesce(c("reference.value"), F.lit(""))), F.lit(p))
+    siemens = F.struct(F.lit("Siemens").alias("value"), F.lit(1.0).alias("confidence"), c("reference.quote").alias("quote"))
+    rows = rows.withColumn("marque", F.when(locked, siemens).otherwise(c("_brand")))
+    rows = rows.withColumns({
         "communication": R.guarded_match(t, C.REGEX_PROTOCOLS, C.NEGATORS), "typeSignal": R.first_match(t, C.REGEX_SIGNALS), "alimentation": R.first_match(t, C.REGEX_SUPPLIES, tidy=True), "nbFils": R.first_match(t, C.REGEX_WIRES),
-        "classeProtection": R.protection(t), "marque": maker, "modele": R.model(t, maker["value"]), "reference": ref, "reperage": R.first_match(t, C.REGEX_TAGS),
-        "nomEquipement": F.when(free, R.first_match(t, C.REGEX_NAMES, tidy=True)), "categorie": F.when(free, R.category(t)), "typeMesure": F.when(free, R.simple_quantity(t)),
-    }
-    m = R.measuring_range(t)
-    span = F.when(m.isNotNull(), F.struct(F.format_string("%s..%s %s", m["min"].cast("string"), m["max"].cast("string"), m["unit"]).alias("value"), F.lit(0.85).alias("confidence")))
-    pick = [F.struct(F.lit(k).alias("field"), s["value"].alias("value"), s["confidence"].alias("confidence")) for k, s in {**found, "plageMesure": span}.items()]
-    each = documents.select("doc_id", F.explode(F.filter(F.array(*pick), lambda x: x["value"].isNotNull())).alias("_f"))
+        "classeProtection": R.protection(t), "modele": R.model(t, c("marque.value")), "reperage": R.first_match(t, C.REGEX_TAGS),
+        "nomEquipement": F.when(c("_free"), R.first_match(t, C.REGEX_NAMES, tidy=True)), "categorie": F.when(c("_free"), R.category(t)), "typeMesure": F.when(c("_free"), R.simple_quantity(t)),
+        "plageMesure": F.when(c("_range").isNotNull(), F.struct(F.format_string("%s..%s %s", c("_range.min").cast("string"), c("_range.max").cast("string"), c("_range.unit")).alias("value"), F.lit(0.85).alias("confidence"))),
+    })
+    names = [n for n in rows.columns if n not in ("doc_id", "text") and not n.startswith("_")]
+    pick = [F.struct(F.lit(n).alias("field"), c(f"{n}.value").alias("value"), c(f"{n}.confidence").alias("confidence")) for n in names]
+    each = rows.select("doc_id", F.explode(F.filter(F.array(*pick), lambda x: x["value"].isNotNull())).alias("_f"))
     return each.select("doc_id", "_f.*", F.lit("regex").alias("source"))
 
 
