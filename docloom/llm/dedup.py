@@ -6,7 +6,10 @@ Texts with one shingle set are one node.  Within a bucket every node is paired w
 bucket's least node alone (a star), and pairs are confirmed on whole shingle sets, first
 each node's most frequent centre, then the stars' other edges between different components.
 Buckets whose nodes then still belong to several components have their remaining pairs
-between components confirmed too, so that a star costs no link.
+between components confirmed too, so that a star costs no link.  An exact bound keeps those
+few: of two sets of n and m shingles, u and w of which at most ``RARE`` such texts hold, at
+most min(n - u, m - w) are shared, unless the two share one of those rare shingles.  Pairs
+that do are found by the shingle, which gives each no more than ``RARE``**2 / 2 pairs.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75**7)**72 = 3e-5.
 
@@ -36,6 +39,7 @@ BANDS = 72
 SHINGLE = 5
 PERCENT = 75
 STAR_CHUNK = 64
+RARE = 24
 BLOCK_BYTES = 2 << 20
 BROADCAST_IDS = 2_000_000
 
@@ -118,6 +122,25 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column(1))
+        for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
+            sets = shingle_sets(texts[lo:hi], size)
+            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "shingles"])
+
+
+def rare_shingles(texts: DataFrame, scratch: Scratch, size: int = SHINGLE, most: int = RARE) -> DataFrame:
+    """(doc_id, shingle, holders) of the shingles that at most ``most`` of the texts hold.
+    Holders are counted before the shuffle; the join drops frequent shingles."""
+    rows = texts.mapInArrow(lambda it: _shingles(it, size), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    held = scratch.keep(rows)
+    few = scratch.keep(held.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") <= most))
+    return scratch.keep(held.join(few, "shingle"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose shingle sets are similar enough.
 
@@ -172,9 +195,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = scratch.keep(members.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")))
     mixed = scratch.keep(labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("band"))
     held = scratch.keep(labelled.join(mixed, "band"))
-    other = held.select("band", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    close = (F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = held.join(other, "band").where(close).select(F.col("doc_id").alias("a"), "b").distinct()
+    rare = rare_shingles(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), scratch, size)
+    counts = scratch.keep(rare.groupBy("doc_id").agg(F.count("*").alias("rare"), F.count_if(F.col("holders") == 1).alias("own")))
+
+    def pairs_by(rows: DataFrame, key: str, spent: str) -> DataFrame:
+        """Pairs that agree in ``key``, of different components, that may share enough."""
+        left = rows.withColumn("free", F.col("n") - F.coalesce(spent, F.lit(0))).select(key, F.col("doc_id").alias("a"), "n", "label", "free").where(100 * F.col("free") >= percent * F.col("n"))
+        left = scratch.keep(left)
+        right = left.toDF(key, "b", "m", "other", "also")
+        bound = (100 + percent) * F.least("free", "also") >= percent * (F.col("n") + F.col("m"))
+        return left.join(right, key).where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & bound).select("a", "b").distinct()
+
+    counted = held.join(counts, "doc_id", "left")
+    nodes_held = scratch.keep(counted.select("doc_id", "n", "label", "own").distinct())
+    pairs = pairs_by(counted, "band", "rare").union(pairs_by(rare.where("holders > 1").select("doc_id", "shingle").join(nodes_held, "doc_id"), "shingle", "own")).distinct()
     third = scratch.keep(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     links = links.union(check(third))
     labels = components(links, scratch)
