@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Lines with licence vocabulary, and their neighbours, are candidate blocks.  A block is
+Lines with licence vocabulary, their neighbours and up to ``GAP`` lines between them are
+candidate blocks.  A block is
 compressed by itself and with each template as zstandard raw dictionary; templates are
 ranked by how much smaller the block gets, and the best are confirmed by their exact
 differences in wording.  What a confirmed template covers is taken out and the rest is
@@ -30,6 +31,7 @@ from .common import table
 SHORT = 20
 TOLERANCE = 0.15
 RANKED = 4
+GAP = 12
 LEVEL = 19
 MARGIN = "\x01\x02\x03\x04\x05\x06\x07\x08" * 2
 BEFORE, AFTER, LONG_LINE = 60, 320, 500
@@ -72,12 +74,12 @@ class Finding(NamedTuple):
 
 def candidate_blocks(text: str) -> list[str]:
     """Runs of lines around licence vocabulary: the lines, one neighbour each side, and
-    gaps of up to two lines; lines of over ``LONG_LINE`` words as windows around it."""
+    gaps of up to ``GAP`` lines; lines of over ``LONG_LINE`` words as windows around it."""
     lines = text.split("\n")
     hinted = [i for i, x in enumerate(lines) if _HINT.search(x)]
     groups: list[list[int]] = []
     for i in hinted:
-        if groups and i - groups[-1][-1] <= 3:
+        if groups and i - groups[-1][-1] <= GAP + 1:
             groups[-1].append(i)
         else:
             groups.append([i])

@@ -96,10 +96,10 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     within = np.arange(n) - words.first[words.doc]
     whole = within + size <= counts[words.doc]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
-        at, value = words.first[i], np.uint64(counts[i])
+        at, value = words.first[i], counts[i : i + 1].astype(np.uint64)
         for k in range(counts[i]):
-            value = mix(np.array([value], np.uint64) * _MULTIPLIERS[2] + h[at + k] * _MULTIPLIERS[3])[0]
-        acc[at], whole[at] = value, True
+            value = mix(value * _MULTIPLIERS[2] + h[at + k : at + k + 1] * _MULTIPLIERS[3])
+        acc[at], whole[at] = value[0], True
     kept, doc = acc[whole], words.doc[whole]
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     return [np.unique(kept[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]

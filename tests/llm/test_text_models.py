@@ -1,0 +1,241 @@
+import itertools
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import langid, licenses, pieces, pii, quality
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+# --- quality -----------------------------------------------------------------------
+
+
+def test_machine_equals_explicit_pairs():
+    rng = np.random.default_rng(0)
+    m = quality.Machine()
+    m.w[:] = rng.normal(size=m.w.shape)
+    m.v[:] = rng.normal(size=m.v.shape)
+    first, bucket, dense = quality.features([b"one two three two", b"", b"x"])
+    z = m.margin(first, bucket, m.standard(dense))[0]
+    for i in range(3):
+        own = bucket[first[i] : first[i + 1]]
+        ids = [*own, *range(1 << quality.BITS, len(m.w))]
+        x = [1 / np.sqrt(max(len(own), 1))] * len(own) + list(m.standard(dense)[i])
+        pairs = sum(m.v[a] @ m.v[b] * x[p] * x[q] for (p, a), (q, b) in itertools.combinations(enumerate(ids), 2))
+        assert z[i] == pytest.approx(sum(m.w[k] * v for k, v in zip(ids, x, strict=True)) + pairs, rel=1e-3)
+
+
+def test_quality_held_out_accuracy(spark):
+    rows = quality.op3_quality_fm(spark, DATA)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = rows.join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) >= 0.95
+    assert rows.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_quality_edges(spark, odd, empty):
+    labels = spark.createDataFrame([(5, 1), (6, 1), (99, 0), (1, None)], "doc_id long, quality int")
+    alone = quality.fit_machine(odd, labels)
+    assert alone.constant == 1.0
+    assert quality.fit_machine(odd, labels.where("false")).constant == 0.5
+    scored = quality.score_quality(odd, quality.Machine())
+    assert scored.columns == ["doc_id", "text", "lang_pred", "n", "id", "bands", "score"] and scored.where("score between 0 and 1").count() == odd.count()
+    assert quality.score_quality(empty, alone).count() == 0
+
+
+def test_scores_do_not_depend_on_neighbours():
+    m, texts = quality.Machine(), [b"a b c", b"", b"d e f g"]
+    assert np.allclose(m.scores(texts), [m.scores([t])[0] for t in texts])
+
+
+# --- language ----------------------------------------------------------------------
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(3)
+    chain = langid.Chain(["a", "b", "c"])
+    chain.step = rng.normal(size=(3, 3))
+    move = np.exp(chain.step)
+    counts = np.array([4, 0, 1, 6])
+    e = rng.random((11, 3)) + 0.1
+    got, at = chain.marginals(e, counts), 0
+    for n in counts:
+        total = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            w = 1.0
+            for t, s in enumerate(path):
+                w *= e[at + t, s] * (move[path[t - 1], s] if t else move[:, s].mean())
+            for t, s in enumerate(path):
+                total[t, s] += w
+        assert np.allclose(got[at : at + n], total / total.sum(axis=1, keepdims=True) if n else total)
+        at += n
+
+
+def test_blocks_are_exact():
+    rng = np.random.default_rng(4)
+    chain = langid.Chain(["a", "b"])
+    chain.step = rng.normal(size=(2, 2)) * 2
+    e = rng.random((777, 2)) + 0.01
+    move, v = np.exp(chain.step), np.full(2, 0.5)
+    forward, back = [], [np.ones(2)]
+    for x in e:
+        v = (v @ move) * x
+        v /= v.sum()
+        forward.append(v)
+    for x in e[:0:-1]:
+        u = move @ (x * back[-1])
+        back.append(u / u.sum())
+    p = np.array(forward) * np.array(back[::-1])
+    assert np.allclose(chain.marginals(e, np.array([777])), p / p.sum(axis=1, keepdims=True))
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    return langid.fit_chain(docs.where(quality.remainder("doc_id", 5) != 0))
+
+
+def test_language_held_out_accuracy(spark, chain):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where(quality.remainder("doc_id", 5) == 0)
+    got = langid.identify(docs, chain).select("lang", "lang_pred", "lang_score").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.97 and all(0 <= r.lang_score <= 1 for r in got)
+
+
+def test_code_switching(spark, chain):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) between 300 and 900 and lang in ('en', 'fr')")
+    parts = {r.lang: r.text for r in docs.groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    text = parts["en"] + " " + parts["fr"]
+    runs = langid.language_runs(spark.createDataFrame([(1, text)], "doc_id long, text string"), chain).collect()
+    cut, raw = len(parts["en"].encode()), text.encode()
+    right = sum(r.end - r.start for r in runs if (r.lang == "en") == (r.start < cut))
+    assert right >= 0.9 * len(raw)
+
+
+def test_language_edges(odd, empty, chain, spark):
+    got = langid.identify(odd, chain).collect()
+    und = {r.doc_id for r in got if r.lang_pred == "und"}
+    assert und == {1, 2, 3} and len(got) == odd.count() and all(r.lang_score == 0 for r in got if r.lang_pred == "und")
+    assert langid.identify(empty, chain).count() == 0
+    nothing = langid.fit_chain(spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
+    assert langid.Chain(["x"]).predict(["— … —".encode(), b"1 2 3"])[0] == ["und", "und"]
+
+
+# --- personal data -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
+def test_permutation(n):
+    p = pii.Permutation(b"k", "t", n)
+    image = [p.apply(x) for x in range(n)]
+    assert sorted(image) == list(range(n)) and all(p.invert(y) == x != y for x, y in enumerate(image))
+
+
+def test_pseudonyms_are_valid_and_linked():
+    own = pii.Pseudonyms()
+    text = "a.b@mail.example.com, 4539 1488 0343 6467 or 4539148803436467, (no: 4539148803436466), IBAN DE89 3704 0044 0532 0130 00, 192.168.1.20, 300.1.1.1, 2020-02-29 = 29.02.2020, 2020-02-30, 123-45-6789, 000-45-6789, +1 (555) 010-9999, token = \"0123456789abcdef0123\""
+    new, spans = own.replace(text)
+    kinds = [k for k, *_ in spans]
+    assert kinds == ["email", "card", "card", "iban", "ip", "date", "date", "ssn", "phone", "secret"]
+    by = {}
+    for k, a, b, s in spans:
+        assert text[a:b] != s and len(s) == len(text[a:b]) or k in ("ip", "date")
+        by.setdefault(k, []).append(s)
+    a, b = by["card"]
+    assert a.replace(" ", "") == b and pii.luhn_digit(b[:-1]) == int(b[-1])
+    assert by["date"][0] == "-".join(reversed(by["date"][1].split(".")))
+    flat = by["iban"][0].replace(" ", "")
+    assert pii.iban_check(flat[:2], flat[4:]) == int(flat[2:4])
+    assert max(map(int, by["ip"][0].split("."))) < 256
+    assert all(x in new for x in ("4539148803436466", "300.1.1.1", "2020-02-30", "000-45-6789"))
+    assert own.replace("x 192.168.1.20 y")[0] == f"x {by['ip'][0]} y"
+    assert pii.Pseudonyms(b"other").replace(text)[0] != new
+
+
+def test_pseudonyms_leave_plain_text_alone():
+    own = pii.Pseudonyms()
+    for t in ("", "no numbers here", "version 3. 12 apples, 1/2, 3.14, 1234567890123456", "a@b", "SHA1 da39a3ee5e6b4b0d3255bfef95601890afd80709"):
+        assert own.replace(t) == (t, [])
+
+
+def test_pii_edges(spark, odd, empty):
+    got = pii.pseudonymise(odd).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(r.doc_id, r.text) for r in odd.collect()] and all(not r.pii_spans for r in got)
+    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(odd, spans_col=None).columns == odd.columns
+
+
+# --- licences ----------------------------------------------------------------------
+
+
+def test_reworded_licence_is_found_with_its_differences():
+    mit = dict(t for t in licenses.TEMPLATES if t[0] == "MIT")["MIT"]
+    changed = mit.replace("free of charge", "at no cost").replace(", ", ",\n")
+    assert changed.count("\n") > 12
+    found = licenses.Scanner().scan("intro\n" + "\n" * 5 + changed + "\n\n\n\n\noutro")
+    assert [f.license for f in found] == ["MIT"] and found[0].reduction > 0.5
+    assert {"free", "charge"} <= set(found[0].missing) and {"at", "cost"} <= set(found[0].extra)
+
+
+def test_short_notices_word_for_word():
+    s = licenses.Scanner()
+    names = lambda t: sorted(f.license for f in s.scan(t))
+    assert names("Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nAll rights reserved.") == ["CC-BY-NC-4.0", "LicenseRef-all-rights-reserved", "MIT"]
+    assert names("licensed UNDER the apache!! license version 2.0") == ["Apache-2.0"]
+    assert names("Released under the MTI License.") == [] and names("You need a permission.") == [] and names(None) == []
+    assert names("word " * 3000 + "Released under the MIT License. " + "word " * 3000 + "Licensed under CC BY 4.0. tail") == ["CC-BY-4.0", "MIT"]
+
+
+def test_licence_edges(odd, empty):
+    assert all(r.findings == [] for r in licenses.scan_licenses(odd).collect()) and licenses.scan_licenses(empty).count() == 0
+
+
+# --- pieces ------------------------------------------------------------------------
+
+TEXTS = ["", " ", "Hello world", "  two  spaces ", "é\n\n x", "日本語テスト 😀 ok", "\ttab\r\nx ", "x" * 50, "▁mark a▁b", "aaaaaaaabbbbbb don't", "The theatre's theory"]
+
+
+def flipped(tmp_path):
+    """The same pieces as a unigram model."""
+    proto, out = open(pieces.MODEL, "rb").read(), b""
+    at = 0
+    while at < len(proto):
+        start = at
+        tag, at = pieces._varint(proto, at)
+        n, at = pieces._varint(proto, at)
+        body, at = proto[at : at + n], at + n
+        out += proto[start : at - n] + (body.replace(b"\x18\x02", b"\x18\x01", 1) if tag >> 3 == 2 else body)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [pieces.BPE, pieces.UNIGRAM])
+def test_encoding_matches_the_library(spark, tmp_path, kind):
+    path = pieces.MODEL if kind == pieces.BPE else flipped(tmp_path)
+    model, library = pieces.load(path), pieces.library(path)
+    assert model.kind == kind
+    texts = TEXTS + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    encoder = pieces.Encoder(model)
+    ids, bounds = encoder.encode([encoder.marked(t) for t in texts])
+    for i, t in enumerate(texts):
+        got = ids[bounds[i] : bounds[i + 1]].tolist()
+        assert model.decode(got) == library.decode(got)
+        if kind == pieces.BPE:
+            assert got == library.encode(t), t
+        elif 0 < len(t) < 400:  # the library's lattice; of equally good paths either is right
+            best = library.nbest_encode_as_ids(t, 1)[0]
+            total = lambda x: sum(model.scores[k] if k in model.ids.values() else 0 for k in x)
+            assert model.decode(best) == model.decode(got) and total(got) >= total(best) - abs(total(best)) * 1e-6, t
+
+
+def test_pieces_edges(odd, empty):
+    got = pieces.encode(odd)
+    rows = {(r.id): r for r in got.collect()}
+    assert rows[1].ids is None and not rows[1].exact and rows[2].ids == [] and rows[2].exact and rows[7].exact
+    back = {r.id: r.text for r in pieces.decode(got.withColumnRenamed("id", "doc_id")).collect()}
+    assert back[1] is None and back[7] == "é 日本語 😀 \x00 x" and back[4] == "word " * 30_000
+    assert pieces.encode(empty).count() == 0

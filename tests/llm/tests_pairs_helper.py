@@ -1,0 +1 @@
+from test_pairs import brute_components  # noqa: F401
