@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Weights of value quality, quote, model, distance and rerank.
+# Weights of distance, quote, value quality, model and rerank.
 WEIGHTS = (0.35, 0.25, 0.20, 0.10, 0.10)
 FAR = 0.70
 
@@ -49,7 +49,7 @@ def model_score(model: Column) -> Column:
 
 def blend(quality: Column, quote: Column, model: Column, distance: Column, rerank: Column, has_value: Column, bare_other: Column) -> Column:
     """Weighted sum, 0 without a value, at most 0.45 for a bare "other", 4 decimals."""
-    signals = (quality, quote, model_score(model), distance_score(distance), rerank_score(rerank, distance))
+    signals = (distance_score(distance), quote, quality, model_score(model), rerank_score(rerank, distance))
     total = F.lit(0.0)
     for w, s in zip(WEIGHTS, signals, strict=True):
         total = total + w * s

@@ -349,7 +349,7 @@ def value_quality(spark, sf_dir):
 
 
 @query(f"""with e as ({_EVIDENCE.format(values_sql('evidence'))}), s as (select *, 0.5 + (case when coalesce(model, 0) = 0 then 0.5 else model end - 0.5) * 0.4 as m, greatest(0, 1 - coalesce(distance, 1) / 0.70) as d from e),
-t as (select *, 0.35 * quality + 0.25 * quote + 0.20 * m + 0.10 * d + 0.10 * case when rerank is null then d else 1 / (1 + exp(-rerank / 3)) end as x from s)
+t as (select *, 0.35 * d + 0.25 * quote + 0.20 * quality + 0.10 * m + 0.10 * case when rerank is null then d else 1 / (1 + exp(-rerank / 3)) end as x from s)
 select value, value_type, rerank, case when value is null then 0 else round(least(greatest(case when lower(trim(value)) = 'autre' then least(x, 0.45) else x end, 0), 1), 4) end::double as confidence from t""")
 def blend_confidence(spark, sf_dir):
     quality = K.value_quality(F.col("value"), F.col("value_type"), F.col("listed"))

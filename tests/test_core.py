@@ -116,7 +116,7 @@ def test_regex_fields(spark, text, field, value):
 def test_rule_quirks(spark):
     info = lambda t: one(spark, R.tag_info(F.lit(t)))
     assert (info("signal at 4 mA").code, info("PCV-12").type, info("SOV-3").type) == ("AT", "Pression", None)
-    assert one(spark, R.guarded_match(F.lit("HART: non. Modbus"), C.REGEX_PROTOCOLS, C.NEGATORS)["value"]) is None
+    assert one(spark, R.guarded_match(F.lit("supplied without HART"), C.REGEX_PROTOCOLS, C.NEGATORS)["value"]) is None
     assert one(spark, R.measuring_range(F.lit("Measuring range 10:1 of 0 to 100 bar"))) is None
 
 
@@ -127,7 +127,7 @@ def test_normalize_all(spark):
 
 def test_blend(spark):
     got = [r.confidence for r in queries.blend_confidence(spark, "").collect()]
-    assert got[:4] == [0.871, 0.8841, 0.45, 0.0] and all(0 <= x <= 1 for x in got)
+    assert got[:4] == [0.766, 0.7791, 0.45, 0.0] and all(0 <= x <= 1 for x in got)
 
 
 def test_quote_fold_depends_on_order(spark):
@@ -172,10 +172,10 @@ def test_field_retrieval_and_rerank(spark):
     v = spark.createDataFrame([("d", f"c{i}", [1.0, i / 10]) for i in range(6)], "doc_id string, chunk_id string, embedding array<double>")
     q = spark.createDataFrame([("marque", 0, [1.0, 0.0]), ("marque", 1, [1.0, 0.1])], "field string, query_idx int, embedding array<double>")
     hits = extract.retrieve_fields(v, q, k=2)
-    assert {r.chunk_id for r in hits.collect()} == {"c0", "c1", "c2"} - {"c2"}
+    assert {r.chunk_id for r in hits.collect()} == {"c0", "c1", "c2"}
     full = hits.withColumns({"text": F.concat(F.lit("brand "), F.col("chunk_id")), "page_number": F.lit(1)})
     ranked = retrieve.rerank(full, ports.overlap_reranker, {"marque": "the brand"})
-    assert retrieve.excerpts(ranked).first().excerpts.count("brand") == 2 and retrieve.evidence(ranked).count() == 1
+    assert retrieve.excerpts(ranked).first().excerpts.count("brand") == 3 and retrieve.evidence(ranked).count() == 1
     assert retrieve.distance_summary(ranked).first().distance == 0.0
 
 
