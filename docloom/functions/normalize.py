@@ -109,13 +109,10 @@ def _all(low: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def check_sensor_category(category: Column, context: Column) -> Column:
-    """Sensor phrases in the context give ``Capteurs``; a generic label next to a specific
-    term gives null, for review."""
-    low = F.lower(context)
-    sensor, specific = F.lit(False), F.lit(False)
-    for w in ("flow sensor", "measuring sensor", "electromagnetic sensor", "pressure sensor", "level sensor"):
-        sensor = sensor | F.contains(low, F.lit(w))
-    for w in ("sensor", "transmitter", "valve", "pump"):
-        specific = specific | F.contains(low, F.lit(w))
-    return F.when(sensor, F.lit("Capteurs")).when(category.isin("Système", "Equipement") & specific, None).otherwise(category)
+def check_sensor_category(category: Column, quote: Column, context: Column) -> Column:
+    """Sensor phrases in the context give ``Capteurs``; the general system label next to a
+    specific term gives null, for review.  Without a quote nothing changes."""
+    low = F.lower(F.coalesce(context, F.lit("")))
+    some = lambda terms: F.greatest(*[F.contains(low, F.lit(w)).cast("int") for w in terms]) == 1
+    checked = F.when(some(C.SENSOR_PHRASES), F.lit("Capteurs")).when((category == "Système de mesure") & some(C.SENSOR_TERMS), None).otherwise(category)
+    return F.when(category.isNull() | (F.coalesce(quote, F.lit("")) == ""), category).otherwise(checked)

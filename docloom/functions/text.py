@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f\x85  -     　]"
-
-
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -24,6 +24,19 @@ def applicable(field: Column, category: Column, kind: Column, has_threshold: Col
     return ~known | ~wrong
 
 
+def visible(field: Column, category: Column, kind: Column, has_threshold: Column, supply: Column) -> Column:
+    """Whether the form shows a field; unlike ``applicable``, an unknown category hides the
+    fields of both, and loop supply goes by its label."""
+    transmitter, actuator = (F.coalesce(category == c, F.lit(False)) for c in C.CATEGORIES)
+    return ~(
+        (field.isin(C.FORM_TRANSMITTER) & ~transmitter)
+        | (field.isin(C.FORM_ACTUATOR) & ~actuator)
+        | (field.isin(C.THRESHOLD_FIELDS) & ~F.coalesce(has_threshold, F.lit(False)))
+        | ((field == "matériauMembrane") & ~F.coalesce(kind.isin(C.MEMBRANE_TYPES), F.lit(False)))
+        | ((field == "communication") & F.coalesce(supply == C.LOOP_LABEL, F.lit(False)))
+    )
+
+
 def open_fields(contexts: DataFrame, catalog: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """(doc_id, field) still to be asked for: those an extractor fills, that apply, and that
     are not resolved yet (a null result counts as resolved)."""

@@ -58,13 +58,18 @@ def best_pattern(text: Column, patterns: list[Pattern]) -> Column:
     return F.when(best["neg"] < 0, F.struct(best["value"].alias("value"), F.least(F.lit(1.0), 0.70 - best["neg"] / 50.0).alias("confidence")))
 
 
-def text_candidate(df: DataFrame, terms: list[str], group: str = "doc_id") -> DataFrame:
-    """(group, text, score) of the best reading: terms present plus up to 3 for length; ties keep order."""
-    low = F.lower(F.coalesce("text", F.lit("")))
+def reading_score(text: Column, terms: list[str]) -> Column:
+    """How many of the terms a reading holds, plus up to 3 for its length."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     score = F.lit(0.0)
     for t in terms:
         score = score + F.contains(low, F.lit(t)).cast("double")
-    scored = df.withColumn("score", score + F.least(F.length(low) / 100.0, F.lit(3.0)))
+    return score + F.least(F.length(low) / 100.0, F.lit(3.0))
+
+
+def text_candidate(df: DataFrame, terms: list[str], group: str = "doc_id") -> DataFrame:
+    """(group, text, score) of the best reading; ties keep their order."""
+    scored = df.withColumn("score", reading_score(F.col("text"), terms))
     return scored.groupBy(group).agg(F.max_by("text", F.struct("score", -F.col("ord"))).alias("text"), F.max("score").alias("score"))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import rules as R
+from ..functions.text import strip, substitute
 from ..operators import resolve as V
 from ..operators import retrieve as Q
 from ..operators import scoring as S
+from ..operators.chunks import text_chunks
+from ..operators.lines import clean_pages, full_texts, repeating_edges
 
 
 def classify(documents: DataFrame) -> DataFrame:
@@ -76,8 +79,6 @@ def retrieve_fields(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     pairs = Q.with_norm(vectors).join(F.broadcast(q), F.lit(True))
     distance = F.when((F.col("_norm") > 0) & (F.col("_qn") > 0), 1 - Q.dot(F.col("embedding"), F.col("_q")) / (F.col("_norm") * F.col("_qn")))
     near = pairs.select("doc_id", "field", "query_idx", "chunk_id", F.round(distance, 9).alias("distance")).where("distance is not null")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("doc_id", "field", "query_idx").orderBy("distance", "chunk_id"))
     return Q.first_occurrences(near.withColumn("rank", rank).where(F.col("rank") <= k))
 
@@ -90,13 +91,51 @@ def extract(documents: DataFrame, technologies: DataFrame, model: DataFrame | No
     return V.guard_records(V.wide_records(V.resolve(parts)), technologies)
 
 
+def label_text(text: Column) -> Column:
+    """A label's reading with known misreadings put right."""
+    fixed = substitute(text, C.OCR_FIXES)
+    return F.regexp_replace(F.regexp_replace(fixed, "VDG", "VDC"), "(?i)psa", "IP66")
+
+
 def ocr_label(text: Column) -> dict[str, Column]:
-    """Fields of a label's text, the first match of each."""
-    x = lambda p, g=1: F.nullif(F.trim(F.regexp_extract(text, "(?iU)" + p, g)), F.lit(""))
+    """Fields of a label's text, the first match of each; protection classes are sorted."""
+    x = lambda p, g=1, flags="(?iU)": F.nullif(strip(F.regexp_extract(text, flags + p, g)), F.lit(""))
+    kind = r"(TEMPERATURE|PRESSURE|FLOW|LEVEL)\s*(TRANSMITTER|SENSOR|DETECTOR)"
+    calibration = x(r"FACTORY\s*(?:CAL\.?|CALIBRATION)\s*[:\s]*(.*?)(?:\n|$)")
+    sensor = F.nullif(F.regexp_extract(calibration, r"(?iU)^(Pt\d+[_\s]\d+[_\s]+\d-WIRE/\w+\s+TO\s+\d+\s*\w?)", 1), F.lit(""))
+    classes = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?iU)(IP\d{2})"), 1), F.upper)))
     return {
-        "brand": x(r"\b(siemens|krohne|endress\+hauser|abb|vega|wika|yokogawa|rosemount)\b"), "type": x(r"\btype\s*[:.]?\s*([A-Z0-9][\w\-/]+)"), "protocol": x(r"\b(hart|profibus(?:\s+pa|\s+dp)?|modbus|profinet)\b"), "model": x(r"\bmodel\s*[:.]?\s*([A-Z0-9][\w\-/]+)"),
-        "serial": x(r"\b(?:s/n|serial(?:\s*no)?\.?)\s*[:.]?\s*([A-Z0-9\-/]{4,})"), "date": x(r"\b(\d{4}-\d{2}(?:-\d{2})?|\d{2}[/.]\d{4})\b"), "supply": x(r"\b(\d+(?:[.,]\d+)?\s*(?:\.{2,3}|-)?\s*\d*(?:[.,]\d+)?\s*V\s*(?:DC|AC))\b"),
-        "output": x(r"\b(\d+\s*(?:\.{2,3}|-)\s*\d+\s*mA)\b"), "wires": x(r"\b([234])[\s-]*wire"), "nema": x(r"\b(NEMA\s*\w+)\b"), "hw": x(r"\bHW\s*[:.]?\s*([\d.]+)"), "sw": x(r"\b(?:SW|FW)\s*[:.]?\s*([\d.]+)"),
-        "ip": F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?iU)\bIP\s*(\d{2}K?)\b"), 1), lambda h: F.concat(F.lit("IP"), F.upper(h))))), ", "), F.lit("")),
-        "reference": x(r"\b((?:7MF|6ES7|6AV)[\w\- ]{6,20})\b"),
+        "brand": F.upper(x(r"(ROSEMOUNT|EMERSON|ENDRESS|SIEMENS)")), "type": F.upper(F.concat_ws(" ", x(kind, 1), x(kind, 2))), "protocol": F.when(text.rlike("(?i)HART"), "HART"),
+        "model": x(r"MODEL\s*[:\s]*(\w+(?:\s+\w+)?)"), "serial_number": x(r"SERIAL\s*(?:NO\.?|NUMBER)?\s*[:\s]*(\d+)"), "date": x(r"(\d{2}/\d{2})"), "factory_calibration": F.coalesce(sensor, calibration),
+        "supply_voltage": x(r"SUPPLY\s*([\d.\-]+\s*(?:TO\s*[\d.]+\s*)?V(?:DC)?)"), "output": F.coalesce(x(r"OUTPUT\s*([\d.\-]+\s*mA)"), x(r"(\d+[\-.]\d+\s*mA)")), "wires": F.concat(x(r"(\d)[- ]?WIRE"), F.lit("-wire")),
+        "ip_rating": F.nullif(F.array_join(classes, ", "), F.lit("")), "nema_type": x(r"NEMA\s*TYPE\s*(\w+)"), "csa_enclosure_type": x(r"CSA\s*ENCLOSURE\s*TYPE\s*(\w+)"), "hw_version": x(r"HW\s*([\d.]+)"), "sw_version": x(r"SW\s*([\d.]+)"),
+        "reference": x(r"(\d{4}[-.]\d{4}[-.]\d{4}\s*/\s*\w+)"),
     }
+
+
+def read_labels(readings: DataFrame) -> DataFrame:
+    """(doc_id, field, value) of label readings (doc_id, ord, text): the three best readings
+    of each image by keywords and length are put right and parsed, and of each field the
+    longest value stays."""
+    scored = readings.withColumn("score", S.reading_score(F.col("text"), C.OCR_KEYWORDS))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ord"))
+    best = scored.withColumn("ord", rank).where("ord <= 3").select("doc_id", "ord", label_text(F.col("text")).alias("text"))
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.nullif(c, F.lit("")).alias("value")) for k, c in ocr_label(F.col("text")).items()])
+    return S.longest_values(best.select("doc_id", "ord", F.explode(fields).alias("_f")).select("doc_id", "ord", "_f.*"))
+
+
+def field_queries(catalog: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(field, query_idx, query): the given queries of each field, else two general ones."""
+    general = F.array(F.format_string("Quelle est la valeur pour '%s' ?", "field"), F.format_string("'%s'", "field"))
+    rows = catalog.select("field") if known is None else catalog.select("field").join(F.broadcast(known), "field", "left")
+    queries = general if known is None else F.coalesce("queries", general)
+    return rows.select("field", F.posexplode(queries).alias("query_idx", "query"))
+
+
+def run_corpus(pages: DataFrame, store, collection: str, embed, technologies: DataFrame) -> DataFrame:
+    """Documents that are not indexed yet: cleaned, chunked, embedded and stored; then the
+    extraction over all pages given.  One plan for the whole corpus."""
+    fresh = pages.join(store.missing(collection, pages.select("doc_id").distinct()), "doc_id", "left_semi")
+    clean = clean_pages(fresh, repeating_edges(fresh))
+    store.add(collection, text_chunks(clean), embed)
+    return extract(full_texts(pages).select("doc_id", F.col("full_text").alias("text")), technologies)

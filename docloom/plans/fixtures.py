@@ -39,18 +39,20 @@ EVIDENCE = [
 CONTEXTS = [("c1", "Actionneur", None, None, None), ("c2", "Transmetteur/Capteur", "Débit", True, "boucle"), ("c3", None, None, None, None), ("c4", "Transmetteur/Capteur", "Niveau", False, "24VDC")]
 READINGS = [("o1", 0, "SIEMENS TYPE 7MF"), ("o1", 1, "siemens type 7mf4033 output 4-20 ma supply 24 v"), ("o1", 2, "noise"), ("o2", 0, "abb"), ("o2", 1, "ABB")]
 FIELDS = [("o1", "model", 0, "7MF"), ("o1", "model", 1, "7MF4033"), ("o1", "serial", 2, None), ("o2", "model", 0, "AB1"), ("o2", "model", 1, "XY2")]
-FIXES = [("siernens", "Siemens"), ("0utput", "Output"), ("profihus", "PROFIBUS")]
-OCR = [("s1", "SIERNENS  0utput\r\n\r\n\r\n\r\nProfihus PA"), ("s2", "clean text"), ("s3", None)]
+OCR = [("s1", "RosenOunt  OUNPUT 4-20mA\r\n\r\n\r\n\r\nTemperaiure Transmiter MODEL DIALK6 24 VDG psa"), ("s2", "clean text"), ("s3", None)]
+LABELS = [
+    ("m1", 0, "ROSEMOUNT TEMPERATURE TRANSMITER\nMODEL 3144P DIALK6 SERIAL NO. 0042908\nFACTORY CAL Pt100_385_ 4-WIRE/0 TO 100 C\nSUPPLY 12-42.4 VDG OUNPUT 4-20 mA HART 07/15"), ("m1", 1, "RCSEMOUNT MODEL 3144P\nNEMA TYPE 4X CSA ENCLOSURE TYPE 4X IP66 IP68 HW 1 SW 5.3.4 00421-0001"), ("m1", 2, "noise"), ("m1", 3, "1234-5678-9012 / AB psa SUPPLY"), ("m2", 0, "no label"),
+]
 GRIDS = [("t1", [["Name", "Value"], ["Range", "0|10"], ["", None], ["Extra", "x", "cut"], ["Short"]]), ("t2", [["", ""]])]
 BLOCKS = [("b", 1, float(x), float(y), float(x + 10), float(y + 4), t, 0) for x, y, t in [(0, 10, "a"), (20, 14, "b"), (40, 18, "c"), (0, 30, "d"), (20, 31, "e"), (0, 50, "alone")]] + [("b", 1, 0.0, 60.0, 50.0, 80.0, "", 1)]
 
 SCHEMAS = {
     "texts": "doc_id string, text string", "values": "field string, value string, value_type string", "candidates": "doc_id string, field string, value string, confidence double, source string",
     "evidence": "value string, value_type string, listed boolean, model double, distance double, rerank double, quote double", "contexts": "doc_id string, category string, typeMesure string, sortieTOR boolean, alimentation string",
-    "readings": "doc_id string, ord int, text string", "fields": "doc_id string, field string, ord int, value string", "ocr": "doc_id string, text string", "grids": "table_id string, cells array<array<string>>",
+    "readings": "doc_id string, ord int, text string", "fields": "doc_id string, field string, ord int, value string", "ocr": "doc_id string, text string", "labels": "doc_id string, ord int, text string", "grids": "table_id string, cells array<array<string>>",
     "blocks": "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double, text string, block_type int",
 }
-ROWS = {"texts": TEXTS, "values": VALUES, "candidates": CANDIDATES, "evidence": EVIDENCE, "contexts": CONTEXTS, "readings": READINGS, "fields": FIELDS, "ocr": OCR, "grids": GRIDS, "blocks": BLOCKS}
+ROWS = {"texts": TEXTS, "values": VALUES, "candidates": CANDIDATES, "evidence": EVIDENCE, "contexts": CONTEXTS, "readings": READINGS, "fields": FIELDS, "ocr": OCR, "labels": LABELS, "grids": GRIDS, "blocks": BLOCKS}
 
 
 def frame(spark: SparkSession, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import chunks, lines, resolve, retrieve, scoring
 from ..sources import readers
 from ..streaming import feedback
 from . import extract
-from .fixtures import FIXES, frame, values_sql
+from .fixtures import frame, values_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,11 +435,41 @@ def longest_value_merge(spark, sf_dir):
     return scoring.longest_values(frame(spark, "fields"))
 
 
-@query(f"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?i)siernens', 'Siemens', 'g'), '(?i)0utput', 'Output', 'g'), '(?i)profihus', 'PROFIBUS', 'g') as text from {values_sql('ocr')}")
+_FIXED = "regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+for _old, _new in C.OCR_FIXES:
+    _FIXED = f"regexp_replace({_FIXED}, '(?i){_old}', '{_new}', 'g')"
+
+
+@query(f"select doc_id, regexp_replace(regexp_replace({_FIXED}, 'VDG', 'VDC', 'g'), '(?i)psa', 'IP66', 'g') as text from {values_sql('ocr')}")
 def dictionary_substitution(spark, sf_dir):
-    return frame(spark, "ocr").select("doc_id", T.substitute(T.ocr_text(F.col("text")), FIXES).alias("text"))
+    return frame(spark, "ocr").select("doc_id", extract.label_text(T.ocr_text(F.col("text"))).alias("text"))
 
 
 @query()
 def ocr_label_fields(spark, sf_dir):
-    return frame(spark, "readings").select("doc_id", "ord", *[c.alias(k) for k, c in extract.ocr_label(F.col("text")).items()])
+    return extract.read_labels(frame(spark, "labels"))
+
+
+@query(f"""select c.doc_id, f.field from {values_sql('contexts')} c cross join (select unnest([{', '.join("'" + f + "'" for f, _, _ in C.FIELDS)}]) as field) f where not (
+f.field in ({', '.join("'" + f + "'" for f in C.FORM_TRANSMITTER)}) and c.category is distinct from 'Transmetteur/Capteur'
+or f.field in ({', '.join("'" + f + "'" for f in C.FORM_ACTUATOR)}) and c.category is distinct from 'Actionneur'
+or f.field in ('seuil', 'seuilUnite') and not coalesce(c.sortieTOR, false)
+or f.field = 'matériauMembrane' and not coalesce(c.typeMesure in ('Pression', 'Niveau'), false)
+or f.field = 'communication' and coalesce(c.alimentation = 'Boucle (2 fils)', false))""")
+def form_visibility(spark, sf_dir):
+    rows = frame(spark, "contexts").join(F.broadcast(C.field_catalog(spark).select("field")), F.lit(True))
+    shown = resolve.visible(F.col("field"), F.col("category"), F.col("typeMesure"), F.col("sortieTOR"), F.col("alimentation"))
+    return rows.where(shown).select("doc_id", "field")
+
+
+@query("select user_id::varchar as ai_value, event_type as field_name, 'Field \"' || event_type || '\": AI said \"' || user_id || '\" but correct value is \"' || json_extract_string(props, '$.k') || '\". Doc type: unknown.' as sentence from events where user_id::varchar <> json_extract_string(props, '$.k')")
+def correction_sentences(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumns({"rule": F.lit(""), "category": F.lit("")})
+    return feedback.rule_sentence(log).select("ai_value", "field_name", "sentence")
+
+
+@query("select o_orderstatus, n_name, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2")
+def rollup_by_nation(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey)
+    return joined.groupBy("o_orderstatus", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

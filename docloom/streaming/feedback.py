@@ -52,6 +52,10 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def rule_sentence(log: DataFrame) -> DataFrame:
-    """Corrections as sentences; those that change nothing or name no field go."""
-    told = F.format_string("For %s, when the model says '%s', the right value is '%s'.", "field_name", F.coalesce("ai_value", F.lit("")), F.coalesce("user_value", F.lit("")))
-    return log.where((F.trim("field_name") != "") & ~F.col("ai_value").eqNullSafe(F.col("user_value"))).withColumn("sentence", told)
+    """Corrections as sentences to embed, the user's rule first; those that change nothing
+    or name no field go."""
+    ai, user = F.coalesce("ai_value", F.lit("")), F.coalesce("user_value", F.lit(""))
+    ruled = F.format_string('RULE for field "%s": %s (Value should be "%s", not "%s")', F.col("field_name"), F.col("rule"), user, ai)
+    plain = F.format_string('Field "%s": AI said "%s" but correct value is "%s". Doc type: %s.', F.col("field_name"), ai, user, F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")))
+    told = F.when(F.coalesce("rule", F.lit("")) != "", ruled).otherwise(plain)
+    return log.where((F.coalesce("field_name", F.lit("")) != "") & (ai != user)).withColumn("sentence", told)

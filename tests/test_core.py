@@ -9,6 +9,7 @@ from docloom import catalog as C
 from docloom.functions import confidence as K
 from docloom.functions import rules as R
 from docloom.functions import text as T
+from docloom.functions.normalize import check_sensor_category
 from docloom.operators import chunks, lines, resolve, retrieve, scoring
 from docloom.plans import extract, fixtures, queries
 from docloom.sources import ports, readers
@@ -215,7 +216,8 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select(*feedback.KEYS).collect()
     batch = feedback.distinct_corrections(readers.json_log(spark, str(src)), None).select(*feedback.KEYS).collect()
     assert sorted(got) == sorted(batch) and len(got) == 2
-    assert feedback.rule_sentence(df).count() == 3
+    told = {r.sentence for r in feedback.rule_sentence(df).collect()}
+    assert told == {'Field "f": AI said "a" but correct value is "b". Doc type: c.', 'RULE for field "g": r (Value should be "b", not "a")'}
 
 
 def test_extraction_records(spark):
@@ -228,3 +230,31 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(queries.QUERIES) >= 50
+
+
+def test_label_reading(spark):
+    got = {r.field: r.value for r in extract.read_labels(fixtures.frame(spark, "labels")).where("doc_id = 'm1'").collect()}
+    assert (got["brand"], got["type"], got["model"], got["serial_number"]) == ("ROSEMOUNT", "TEMPERATURE TRANSMITTER", "3144P D1A1K5", "0042908")
+    assert (got["output"], got["supply_voltage"], got["wires"], got["ip_rating"], got["nema_type"]) == ("4-20 mA", "12-42.4 VDC", "4-wire", "IP66, IP68", "4X")
+
+
+def test_sensor_category(spark):
+    fix = lambda c, t, q="q": one(spark, check_sensor_category(F.lit(c), F.lit(q), F.lit(t)))
+    assert [fix("x", "un Capteur de niveau"), fix("Système de mesure", "a flowmeter"), fix("Système de mesure", "plain"), fix("x", "capteur de niveau", "")] == ["Capteurs", None, "Système de mesure", "x"]
+
+
+def test_field_queries(spark):
+    known = spark.createDataFrame([("marque", ["brand?"])], "field string, queries array<string>")
+    got = extract.field_queries(C.field_catalog(spark), known).collect()
+    assert len(got) == 2 * len(C.FIELDS) - 1 and ("marque", 0, "brand?") in [tuple(r) for r in got]
+
+
+def test_corpus_run_skips_what_is_indexed(spark, tmp_path):
+    rows = [("d1", i, f"Header line\nBody of page {'abcdef'[i]} about level measurement.\nOther {'abcdef'[i]} text follows here.\nMore\nFooter line") for i in range(1, 5)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    store, embed = readers.Store(spark, str(tmp_path / "s")), ports.embedding_port(ports.hashing_embedder(8), width=8)
+    for _ in range(2):
+        found = extract.run_corpus(pages, store, "c", embed, C.type_technologies(spark)).collect()
+    assert [r.typeMesure for r in found] == ["Niveau"]
+    kept = store.read("c").collect()
+    assert len(kept) == 4 and not any("Header" in r.text for r in kept) and len(kept[0].embedding) == 8
