@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, table, text_bytes
+from .common import Scratch, chunks, slices, table, text_bytes
 from .components import components
 from .textkit import mix, shingle_sets
 
@@ -40,7 +40,7 @@ SHINGLE = 5
 PERCENT = 75
 STAR_CHUNK = 64
 RARE = 24
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 BROADCAST_IDS = 2_000_000
 
 
@@ -84,7 +84,7 @@ class Sketcher:
 
 def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     sketcher = Sketcher(bands, rows)
-    for batch in batches:
+    for batch in slices(batches):
         texts = text_bytes(batch.column(1))
         for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
             sets = shingle_sets(texts[lo:hi], size)
@@ -105,7 +105,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
     """Rows sorted by (a, chunk, role): a centre's text, then those of its partners.  Only
     the centre's set is held from row to row."""
     centre, centre_set = None, np.zeros(0, np.uint64)
-    for batch in batches:
+    for batch in slices(batches):
         a, chunk, role, b = (batch.column(i).to_pylist() for i in range(4))
         texts = text_bytes(batch.column(4))
         for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
@@ -123,7 +123,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = text_bytes(batch.column(1))
         for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
             sets = shingle_sets(texts[lo:hi], size)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, text_bytes
+from .common import chunks, slices, table, text_bytes
 from .quality import remainder
 from .textkit import LOWER, Words
 
@@ -35,7 +35,7 @@ BLOCK = 32
 SAMPLE_ROWS = 400
 SEGMENT_WORDS = 160
 MAX_LANGUAGES = 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -276,7 +276,7 @@ def fit_chain(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
     rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cut = pa.array([_segment(t) for t in text_bytes(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], ["doc_id", "lang", "segment"])
 
@@ -293,7 +293,7 @@ def identify(df: DataFrame, chain: Chain, text_col: str = "text", lang_col: str
     shared = df.sparkSession.sparkContext.broadcast(chain)  # its size is fixed by BITS and MAX_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(at))
             names: list[str] = []
             scores = [np.zeros(0)]
@@ -313,7 +313,7 @@ def language_runs(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
                 words, p = shared.value.label(texts[lo:hi])

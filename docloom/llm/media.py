@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_bytes
+from .common import Scratch, slices, table, text_bytes
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -172,7 +172,7 @@ def payload(text: bytes) -> bytes:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = text_bytes(batch.column(1))
         for lo in range(0, len(texts), 512):
             part = texts[lo : lo + 512]
@@ -183,7 +183,7 @@ def _encode(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Record
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for v in batch.column(2):
             blob = v.as_py()

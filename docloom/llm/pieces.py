@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, slices, table
 from .textkit import Words
 
 MARK = "▁"
@@ -319,7 +319,7 @@ def encode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         front = b" " if own.model.prefix else b""
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             marked = [own.marked(t) if t else b"" for t in texts]
             for lo, hi in chunks([len(t) for t in marked], BLOCK_BYTES):
@@ -340,7 +340,7 @@ def decode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 

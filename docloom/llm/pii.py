@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 KEY = b"docloom demonstration key"
 ROUNDS = 8
@@ -248,7 +248,7 @@ def pseudonymise(df: DataFrame, text_col: str = "text", spans_col: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in slices(batches):
             done = [own.replace(t) if t else (t, []) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, text_bytes
+from .common import chunks, slices, table, text_bytes
 from .textkit import Words
 
 BITS = 15
 FACTORS = 8
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.7
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _GROUPS = [b"#%&*$^~@", b"!?", b"|", b"0123456789", b".,;:", b"\n", b"\"'()[]{}<>=+-/_", bytes(range(65, 91)), bytes(range(128, 256))]
 _KIND = np.zeros(256, np.uint8)
 for _i, _g in enumerate(_GROUPS, 1):
@@ -160,7 +160,7 @@ def fit_machine(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
                 first, bucket, dense = features(texts[lo:hi])
@@ -188,7 +188,7 @@ def score_quality(df: DataFrame, machine: Machine, text_col: str = "text", score
     shared = df.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by BITS and FACTORS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(at))
             found = [shared.value.scores(texts[lo:hi]) for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES)]
             score = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
