@@ -3,9 +3,10 @@
 Lines with licence vocabulary, their neighbours and up to ``GAP`` lines between them are
 candidate blocks.  A block is
 compressed by itself and with each template as zstandard raw dictionary; templates are
-ranked by how much smaller the block gets, and the best are confirmed by their exact
-differences in wording.  What a confirmed template covers is taken out and the rest is
-ranked again, so that a block can hold several licences.
+ranked by how much smaller the block gets, and each is compared by its exact differences in
+wording, at every place where it could be.  The first that is confirmed wins, or one whose
+place holds that one's.  What it covers is taken out and the rest is ranked again, so that
+a block can hold several licences.
 
 A short notice (under ``SHORT`` words) must occur word for word; a longer text may differ in
 ``TOLERANCE`` of its words.  Case, punctuation and line breaks do not count.  Null and empty
@@ -30,7 +31,6 @@ from .common import slices, table
 
 SHORT = 20
 TOLERANCE = 0.15
-RANKED = 4
 GAP = 12
 LEVEL = 19
 MARGIN = "\x01\x02\x03\x04\x05\x06\x07\x08" * 2
@@ -63,6 +63,11 @@ def wording(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def allowed(words: list[str]) -> int:
+    """How many words of a template may differ."""
+    return int(len(words) * TOLERANCE) if len(words) >= SHORT else 0
+
+
 class Finding(NamedTuple):
     license: str
     template: int
@@ -119,9 +124,15 @@ class Scanner:
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, hash_log=12, chain_log=12, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = []
+        self.grams: list[tuple[int, dict[tuple[str, ...], list[int]]]] = []
         for _, words in self.templates:  # the margin: a dictionary's last bytes start no match
             d = zstandard.ZstdCompressionDict(f"\n {' '.join(words)} \n{MARGIN}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
+            most = allowed(words)  # differences: at most one run more, one of which is as long as the mean
+            need, at = -(-(len(words) - most) // (most + 1)), {}
+            for a in range(len(words) - need + 1):
+                at.setdefault(tuple(words[a : a + need]), []).append(a)
+            self.grams.append((need, at))
 
     def ranked(self, words: list[str]) -> list[tuple[float, int]]:
         """(share by which the block shrinks, template), largest first, ties by template."""
@@ -129,23 +140,32 @@ class Scanner:
         base = len(self.alone.compress(block))
         return sorted(((1 - len(c.compress(block)) / base, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
+    def places(self, template: int, words: list[str]) -> list[int]:
+        """Where the template could begin, best first: each shift at which as many words in a
+        row agree as the longest run of a text within the tolerance must have."""
+        need, grams = self.grams[template]
+        runs: dict[int, int] = {}
+        for b in range(len(words) - need + 1):
+            for a in grams.get(tuple(words[b : b + need]), ()):
+                runs[b - a] = runs.get(b - a, 0) + 1
+        return sorted(runs, key=lambda shift: (-runs[shift], shift))
+
     def compare(self, template: int, words: list[str]) -> tuple[list[str], list[str], int, int] | None:
         """(words missing, words added, start, end) where the block follows the template,
-        or None if it differs too much."""
+        or None if it differs too much everywhere."""
+        return next((x for shift in self.places(template, words) if (x := self.compare_at(template, words, shift))), None)
+
+    def compare_at(self, template: int, words: list[str], shift: int) -> tuple[list[str], list[str], int, int] | None:
         wanted = self.templates[template][1]
-        match = difflib.SequenceMatcher(None, wanted, words, autojunk=False).find_longest_match()
-        if not match.size:
-            return None
-        slack = int(len(wanted) * TOLERANCE) if len(wanted) >= SHORT else 0
-        lo = max(0, match.b - match.a - slack)
-        part = words[lo : match.b + len(wanted) - match.a + slack]
+        slack = allowed(wanted)
+        lo = max(0, shift - slack)
+        part = words[lo : shift + len(wanted) + slack]
         same = [m for m in difflib.SequenceMatcher(None, wanted, part, autojunk=False).get_matching_blocks() if m.size]
         start, end = same[0].b, same[-1].b + same[-1].size
         hit, there = {m.a + k for m in same for k in range(m.size)}, {m.b + k for m in same for k in range(m.size)}
         missing = [w for k, w in enumerate(wanted) if k not in hit]
         extra = [part[k] for k in range(start, end) if k not in there]
-        allowed = TOLERANCE * len(wanted) if len(wanted) >= SHORT else 0
-        return (missing, extra, lo + start, lo + end) if len(missing) + len(extra) <= allowed else None
+        return (missing, extra, lo + start, lo + end) if len(missing) + len(extra) <= slack else None
 
     def scan_block(self, block: str) -> list[Finding]:
         """Findings of a block: as a whole, then of what is left, then line by line."""
@@ -156,16 +176,17 @@ class Scanner:
             words = [w for w, _ in part]
             if len(words) < 2:
                 continue
-            for reduction, i in self.ranked(words)[:RANKED]:
-                differences = self.compare(i, words) if reduction > 0 else None
-                if differences:
-                    missing, extra, start, end = differences
-                    found.append(Finding(self.templates[i][0], i, reduction, end - start, missing, extra))
-                    rest += [part[:start], part[end:]]
-                    break
-            else:
-                if part[0][1] != part[-1][1]:
-                    rest += [[x for x in part if x[1] == k] for k in {i for _, i in part}]
+            best = None
+            for reduction, i in self.ranked(words):
+                x = self.compare(i, words)
+                if x and (best is None or x[2] <= best[2] and x[3] >= best[3] and x[3] - x[2] > best[3] - best[2]):
+                    best = (*x, reduction, i)
+            if best:
+                missing, extra, start, end, reduction, i = best
+                found.append(Finding(self.templates[i][0], i, reduction, end - start, missing, extra))
+                rest += [part[:start], part[end:]]
+            elif part[0][1] != part[-1][1]:
+                rest += [[x for x in part if x[1] == k] for k in {i for _, i in part}]
         return found
 
     def scan(self, text: str | None) -> list[Finding]:

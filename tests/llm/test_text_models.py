@@ -189,6 +189,17 @@ def test_short_notices_word_for_word():
     assert names("word " * 3000 + "Released under the MIT License. " + "word " * 3000 + "Licensed under CC BY 4.0. tail") == ["CC-BY-4.0", "MIT"]
 
 
+@pytest.mark.parametrize("size", [80, 450, 600])
+def test_short_notice_inside_a_long_line(size):
+    prose = "the plant was built for a large company near the harbour and it has been in use for many years with the permission to include any part of the work in all of the other copies that are made from it".split()
+    words = [prose[i * i % 41 % len(prose)] + "s" * (i % 7 == 0) for i in range(size)]
+    s = licenses.Scanner()
+    for name, notice in licenses.TEMPLATES:
+        if len(licenses.wording(notice)) < licenses.SHORT:
+            line = " ".join([*words[: size // 2], notice, *words[size // 2 :]])
+            assert [f.license for f in s.scan(line)] == [name]
+
+
 def test_licence_edges(odd, empty):
     assert all(r.findings == [] for r in licenses.scan_licenses(odd).collect()) and licenses.scan_licenses(empty).count() == 0
 
