@@ -22,12 +22,17 @@ def value_quality(v: Column, kind: Column, in_options: Column) -> Column:
     )
 
 
+def quote_parts(quote: Column) -> tuple[Column, Column]:
+    """The quote as it is looked for, and its longer words."""
+    q = F.lower(strip(quote))
+    return q, F.filter(F.split(q, r"\s+"), lambda w: F.length(w) > 2)
+
+
 def quote_score(quote: Column, chunks: Column) -> Column:
     """1.0 if a chunk holds the quote; else a fold over the chunks' shares of its longer
     words, in which a larger share counts three quarters (so that their order matters)."""
-    q = F.lower(strip(quote))
+    q, words = quote_parts(quote)
     texts = F.transform(chunks, lambda c: F.lower(c))
-    words = F.filter(F.split(q, r"\s+"), lambda w: F.length(w) > 2)
     share = lambda c: F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(c, w))) / F.size(words)).otherwise(0.0)
     fold = F.aggregate(F.transform(texts, share), F.lit(0.0), lambda a, p: F.when(p > a, 0.75 * p).otherwise(a))
     return F.when(F.length(F.coalesce(q, F.lit(""))) < 2, 0.0).when(F.exists(texts, lambda c: F.contains(c, q)), 1.0).otherwise(fold)

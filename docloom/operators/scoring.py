@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..catalog import Pattern
+from ..functions.confidence import quote_parts
 
 
 def hits(text: Column, pattern: str) -> Column:
@@ -86,3 +92,46 @@ def top_labels(scores: DataFrame, k: int = 2) -> DataFrame:
     """The ``k`` best labels of each document, ranked."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ord"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "label", "score", "rank")
+
+
+def quote_scores(groups: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(id, item_id, score): ``confidence.quote_score`` of every whole quote of
+    (item_id, quote), a bounded table that is broadcast, with the chunks of every group of
+    (id, chunks).
+
+    Each distinct word is looked for once a chunk, and not once a quote; nothing is shuffled.
+    """
+    q, words = quote_parts(F.col("quote"))
+    rows = quotes.select("item_id", q.alias("q"), words.alias("words")).collect()
+    place: dict[str, int] = {}
+    holders: list[list[int]] = []  # of each distinct word: its quotes, as often as they have it
+    for i, r in enumerate(rows):
+        for w in r.words or []:
+            if place.setdefault(w, len(place)) == len(holders):
+                holders.append([])
+            holders[place[w]].append(i)
+    n = len(rows)
+    id_type = quotes.schema["item_id"].dataType.simpleString()
+    shared = groups.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.q or "" for r in rows], list(place), [np.array(x) for x in holders], np.array([len(r.words or []) for r in rows])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, whole, distinct, owners, sizes = shared.value
+        long_enough = np.array([len(x) >= 2 for x in whole], bool)
+        for batch in batches:
+            for g in range(batch.num_rows):
+                score, exact = np.zeros(n), np.zeros(n, bool)
+                for chunk in batch.column(1)[g].as_py() or []:
+                    if chunk is None:
+                        continue
+                    there = [owners[k] for k, w in enumerate(distinct) if w in chunk]
+                    found = np.bincount(np.concatenate(there), minlength=n) if there else np.zeros(n)
+                    share = found / np.maximum(sizes, 1)
+                    score = np.where(share > score, 0.75 * share, score)
+                    exact |= [x in chunk for x in whole]
+                score = np.where(long_enough, np.where(exact, 1.0, score), 0.0)
+                one = batch.column(0).slice(g, 1).take(pa.array(np.zeros(n, np.int64)))
+                yield pa.RecordBatch.from_arrays([one, pa.array(ids, item_type), pa.array(score)], ["id", "item_id", "score"])
+
+    item_type = to_arrow_type(quotes.schema["item_id"].dataType)
+    low = groups.select("id", F.transform("chunks", lambda c: F.lower(c)).alias("chunks"))
+    return low.mapInArrow(run, f"id {groups.schema['id'].dataType.simpleString()}, item_id {id_type}, score double")

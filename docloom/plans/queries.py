@@ -359,11 +359,11 @@ def blend_confidence(spark, sf_dir):
 
 @query()
 def quote_partial_score(spark, sf_dir):
-    """Benchmark items against the texts of a conversation's turns, in their order."""
+    """Every benchmark item, as a whole, against the texts of each conversation's turns, in
+    their order.  The items are broadcast."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("chunks"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"))
-    pairs = turns.join(quotes, F.pmod("conv_id", F.lit(40)) == F.col("item_id"))
-    return pairs.select("conv_id", "item_id", K.quote_score(F.col("quote"), F.col("chunks")).alias("score"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return scoring.quote_scores(turns.withColumnRenamed("conv_id", "id"), quotes).withColumnRenamed("id", "conv_id")
 
 
 @query(f"""select c.doc_id, f.field from {values_sql('contexts')} c cross join (select unnest([{', '.join("'" + f + "'" for f, _, _ in C.FIELDS if f not in C.MANUAL_FIELDS)}]) as field) f

@@ -138,6 +138,19 @@ def test_quote_fold_depends_on_order(spark):
     assert one(spark, K.quote_score(F.lit("word1"), F.array(F.lit("xWORD1x")))) == 1.0
 
 
+def test_quotes_are_scored_whole_and_all(spark, tmp_path):
+    head = "a quote whose first sixty characters and more are the same in both"
+    items = [(0, head + " until here"), (41, head + " but not there"), (500, None), (501, " x "), (502, "of a to"), (503, "Word  word WORD\tother")]
+    turns = [(7, 1, "so: " + head.upper() + " UNTIL HERE."), (7, 0, "words"), (81, 0, None), (81, 1, "another word of a to"), (None, 0, "none")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.item_id): r.score for r in queries.quote_partial_score(spark, str(tmp_path)).collect()}
+    chunks = spark.read.parquet(f"{tmp_path}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("chunks"))
+    pairs = chunks.crossJoin(spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert got == {(r.conv_id, r.item_id): r.score for r in pairs.select("conv_id", "item_id", K.quote_score(F.col("text"), F.col("chunks")).alias("score")).collect()}
+    assert len(got) == 18 and got[7, 0] == 1.0 and 0 < got[7, 41] < 1 and got[81, 502] == 1.0
+
+
 def test_resolution(spark):
     r = resolve.resolve(fixtures.frame(spark, "candidates"))
     got = {(x.doc_id, x.field): (x.value, x.source) for x in r.collect()}
