@@ -221,10 +221,26 @@ class Pseudonyms:
         if not _HINT.search(text):
             return text, []
         out, spans, at = [], [], 0
-        for m in PATTERN.finditer(text):
+        begin = failed = 0  # up to ``failed`` only cards and IBANs count
+        while m := PATTERN.search(text, begin):
             kind = m.lastgroup if m.lastgroup != "value" else "secret"
             start, end = m.span("value" if kind == "secret" else kind)
+            begin = m.end()
+            if kind not in ("card", "iban") and m.start() < failed:
+                begin = m.start() + 1
+                continue
             new = getattr(self, kind)(text[start:end])
+            if new is None and kind in ("card", "iban"):  # shorter, at the ends of its groups
+                for cut in reversed([i for i in range(start, end) if text[i] in " -"]):
+                    size = sum(c.isalnum() for c in text[start:cut])
+                    if size < (13 if kind == "card" else 15):
+                        break
+                    new = getattr(self, kind)(text[start:cut])
+                    if new is not None:
+                        end = begin = cut
+                        break
+                if new is None:
+                    begin, failed = start + 1, max(failed, m.end())
             if new is not None:
                 out += [text[at:start], new]
                 at = end

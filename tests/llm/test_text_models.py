@@ -155,6 +155,16 @@ def test_pseudonyms_are_valid_and_linked():
     assert pii.Pseudonyms(b"other").replace(text)[0] != new
 
 
+def test_values_before_other_groups_are_replaced():
+    own = pii.Pseudonyms()
+    for value, rest in (("4111 1111 1111 1111", " 123"), ("4111 1111 1111 1111", " 12/26"), ("BE68 5390 0754 7034", " BIC")):
+        new, spans = own.replace(value + rest)
+        assert value not in new and new.endswith(rest) and [(s[1], s[2]) for s in spans] == [(0, len(value))]
+        assert new == own.replace(value)[0] + rest
+    assert [s[1:3] for s in own.replace("123 4111 1111 1111 1111")[1]] == [(4, 23)]
+    assert own.replace("1234 5678 9012 3456 and 4111 1111 1111 1112")[1] == []
+
+
 def test_pseudonyms_leave_plain_text_alone():
     own = pii.Pseudonyms()
     for t in ("", "no numbers here", "version 3. 12 apples, 1/2, 3.14, 1234567890123456", "a@b", "SHA1 da39a3ee5e6b4b0d3255bfef95601890afd80709"):
