@@ -180,9 +180,11 @@ def test_pii_edges(spark, odd, empty):
 
 # --- licences ----------------------------------------------------------------------
 
+LONGEST = {n: t for n, t in sorted(licenses.TEMPLATES, key=lambda x: len(x[1]))}
+
 
 def test_reworded_licence_is_found_with_its_differences():
-    mit = dict(t for t in licenses.TEMPLATES if t[0] == "MIT")["MIT"]
+    mit = LONGEST["MIT"]
     changed = mit.replace("free of charge", "at no cost").replace(", ", ",\n")
     assert changed.count("\n") > 12
     found = licenses.Scanner().scan("intro\n" + "\n" * 5 + changed + "\n\n\n\n\noutro")
@@ -210,6 +212,61 @@ def test_short_notice_inside_a_long_line(size):
             assert [f.license for f in s.scan(line)] == [name]
 
 
+@pytest.mark.parametrize("lines", [150, 200, 5000])
+def test_a_text_is_found_beside_any_number_of_hinted_lines(lines):
+    noise = "\n".join("permission " + " ".join(f"w{k}{i}" for k in range(6)) for i in range(lines))
+    s, mit = licenses.Scanner(), LONGEST["MIT"].replace(", ", ",\n")
+    assert [f.license for t in (f"{noise}\n{mit}", f"{mit}\n{noise}", f"{noise}\n{mit}\n{noise}") for f in s.scan(t)] == ["MIT"] * 3
+
+
+def test_every_notice_of_a_long_block_is_found():
+    s = licenses.Scanner()
+    assert len(s.scan("All rights reserved, now and then.\n" * 3000)) == 3000
+    assert [f.license for f in s.scan((LONGEST["MIT"] + "\n") * 40)] == ["MIT"] * 40
+
+
+def test_names_and_versions_decide():
+    s = licenses.Scanner()
+    names = lambda t: [f.license for f in s.scan(t)]
+    for name, notice in licenses.TEMPLATES:
+        assert names("words that stand before it " * 9 + notice + " and words that follow" * 9) == [name]
+    assert names(LONGEST["GPL-3.0"].replace("version 3", "version 9")) == [] and names(LONGEST["GPL-3.0"].replace("General", "Special")) == []
+    assert names("This project is licensed under the MIT license") == ["MIT"] and names("SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0"]
+
+
+def test_context_covers_every_template():
+    for _, words in licenses.Scanner().templates:
+        hints = [i for i, w in enumerate(words) if licenses._HINT_WORD.search(w)]
+        near = [sorted(abs(i - h) for h in hints)[min(1, len(hints) - 1)] for i in range(len(words))]  # one of them changed
+        assert hints and max(near) + licenses.allowed(words) <= licenses.CONTEXT and len(words) + licenses.allowed(words) <= licenses.OVERLAP
+
+
+def test_scan_agrees_with_every_template_at_every_place():
+    """Against plain comparison: no windows, no rank, no index of runs."""
+    rng, s = np.random.default_rng(8), licenses.Scanner()
+
+    def brute(text):
+        words, found = licenses.wording(text), []
+        for i, (_, wanted) in enumerate(s.templates):
+            for shift in range(-licenses.allowed(wanted), len(words)):
+                x = s.compare_at(i, words, shift)
+                if x and x[3] > x[2]:
+                    found.append((x[2], x[3], s.templates[i][0]))
+        return {n for a, b, n in found if not any(c <= a and b <= d and d - c > b - a for c, d, _ in found)}
+
+    for _ in range(6):
+        parts = []
+        for k in rng.choice(len(licenses.TEMPLATES), 4, replace=False):
+            words = licenses.TEMPLATES[k][1].split()
+            if len(words) > 40:
+                at = [j for j in range(len(words)) if words[j].isalpha() and words[j].islower()]
+                for j in rng.choice(at, 3, replace=False):
+                    words[j] = "changed"
+            parts += [" ".join(f"filler{x}" for x in rng.integers(0, 50, 30)), " ".join(words)]
+        text = "\n".join(parts)
+        assert {f.license for f in s.scan(text)} == brute(text)
+
+
 def test_licence_edges(odd, empty):
     assert all(r.findings == [] for r in licenses.scan_licenses(odd).collect()) and licenses.scan_licenses(empty).count() == 0
 
