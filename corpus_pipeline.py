@@ -14,7 +14,7 @@ from docloom.llm.common import Scratch, table
 from docloom.llm.dedup import near_duplicates
 from docloom.llm.langid import UNKNOWN, fit_chain, identify
 from docloom.llm.packing import pack
-from docloom.llm.pii import pseudonymise
+from docloom.llm.pii import pseudonymise, session_key
 from docloom.llm.quality import THRESHOLD, fit_machine, remainder, score_quality
 
 
@@ -46,8 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by format-preserving pseudonyms; every document stays."""
-    done = pseudonymise(docs, spans_col=None)
+    """Replaces personal data by format-preserving pseudonyms under the session's key; every
+    document stays."""
+    done = pseudonymise(docs, spans_col=None, key=session_key(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
