@@ -18,11 +18,10 @@ ties go to the first language in alphabetical order.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +33,6 @@ BITS = 17
 BLOCK = 32
 SAMPLE_ROWS = 400
 SEGMENT_WORDS = 160
-MAX_LANGUAGES = 64
 BLOCK_BYTES = 1 << 19
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
@@ -251,38 +249,36 @@ class Chain:
         return self
 
 
-def _segment(text: bytes) -> bytes:
-    """The whole text, or ``SEGMENT_WORDS`` of its words from a place that its size sets."""
+def segments(text: bytes) -> list[bytes]:
+    """The whole text in pieces of ``SEGMENT_WORDS`` words."""
     words = text.split()
-    if len(words) <= SEGMENT_WORDS:
-        return text
-    at = len(text) * 2654435761 % (len(words) - SEGMENT_WORDS + 1)
-    return b" ".join(words[at : at + SEGMENT_WORDS])
+    return [b" ".join(words[i : i + SEGMENT_WORDS]) for i in range(0, len(words), SEGMENT_WORDS)]
 
 
 def fit_chain(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """A field learnt from (doc_id, text, lang) rows whose language is known.
+    """A field learnt from (doc_id, text, lang) rows whose language is known, over every
+    language that occurs; its weights take half a megabyte a language.
 
-    Of each language (the ``MAX_LANGUAGES`` most frequent) the ``sample_rows`` rows with the
-    smallest hashes of the id are broadcast as ids; executors send one segment of at most
-    ``SEGMENT_WORDS`` words of each.  Only this sample is cut, never a text that is labelled.
+    Of each language the ``sample_rows`` rows with the smallest hashes of the id are picked
+    (ids alone move), and of all segments of their whole texts the ``sample_rows`` with the
+    smallest hashes.  So the sample is bounded, also where ids repeat, and every part of a
+    text is as likely to be in it as any other.
     """
     known = documents.where("lang is not null and doc_id is not null")
-    languages = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    if not languages:
-        return Chain([])
-    keys = [known.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for x in languages]
-    picked = F.broadcast(reduce(DataFrame.unionAll, keys).distinct())
-    rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = known.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= sample_rows).select("doc_id", "lang").distinct()
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cut = pa.array([_segment(t) for t in text_bytes(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], ["doc_id", "lang", "segment"])
+            found = [(x, s) for x, t in zip(batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True) for s in segments(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.binary())], ["lang", "segment"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, segment binary").collect()
-    segments = sorted((r.doc_id, r.lang, bytes(r.segment)) for r in found)
-    return Chain(languages).fit([(s, languages.index(x)) for _, x, s in segments])
+    each = rows.mapInArrow(run, "lang string, segment binary")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("segment"), "segment"))
+    found = sorted((r.lang, bytes(r.segment)) for r in each.withColumn("_rank", order).where(F.col("_rank") <= sample_rows).collect())
+    languages = sorted({x for x, _ in found})
+    return Chain(languages).fit([(s, languages.index(x)) for x, s in found])
 
 
 def identify(df: DataFrame, chain: Chain, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
@@ -290,7 +286,7 @@ def identify(df: DataFrame, chain: Chain, text_col: str = "text", lang_col: str
     kept = [f for f in df.schema.fields if f.name not in (lang_col, score_col)]
     at = [f.name for f in kept].index(text_col)
     fields = [*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
-    shared = df.sparkSession.sparkContext.broadcast(chain)  # its size is fixed by BITS and MAX_LANGUAGES
+    shared = df.sparkSession.sparkContext.broadcast(chain)  # 2**BITS weights a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

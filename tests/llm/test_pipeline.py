@@ -3,7 +3,7 @@
 import os
 
 import corpus_pipeline as P
-from docloom.llm import quality
+from docloom.llm import langid, quality
 from docloom.llm.common import Scratch
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -27,7 +27,10 @@ def test_stages(spark):
     good = {r.doc_id for r, s in zip(rows, machine.scores([(r.text or "").encode() for r in rows]), strict=True) if s >= 0.7}
     assert {r.doc_id for r in after.collect()} == good and after.count() < before.count()
     before, after = kept["language"]
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "")}
+    chain = langid.fit_chain(before.select("doc_id", "text", "lang").where(quality.remainder("doc_id", 5) != 0))
+    rows = before.collect()
+    names, scores = chain.predict([(r.text or "").encode() for r in rows])
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r, x, y in zip(rows, names, scores, strict=True) if x != "und" and y >= P.LEAST_SCORE}
     before, after = kept["near_dedup"]
     from tests_pairs_helper import brute_components
 
@@ -40,6 +43,18 @@ def test_stages(spark):
     assert {r.doc_id: r.n for r in after.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
 
 
+def test_language_stage_rejects_other_languages_and_mixtures(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 200").limit(150)
+    texts = {r.lang: r.text.split() for r in docs.collect()}
+    mixed = " ".join(w for k in range(0, 200, 2) for x in sorted(texts) for w in (texts[x] * 20)[k : k + 2])
+    more = spark.createDataFrame([(10**9, mixed, None, "s", len(mixed)), (10**9 + 1, "123 456", "en", "s", 7)], docs.schema)
+    docs = docs.unionByName(more)
+    all_kept = P.language(spark, docs, DATA).collect()
+    assert not {10**9, 10**9 + 1} & {r.doc_id for r in all_kept} and len(all_kept) >= 0.95 * (docs.count() - 2)
+    english = P.language(spark, docs, DATA, wanted=("en",)).collect()
+    assert {r.lang for r in english} == {"en"} and len(english) >= 0.95 * docs.where("lang = 'en'").count() - 1
+
+
 def test_run(spark):
     assert P.run(spark, DATA).count() > 0
     assert [n for n, _ in P.STAGES] == ["quality", "language", "near_dedup", "personal_data", "packing"]
