@@ -7,6 +7,8 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from docloom.llm.packing import pack
 from docloom.llm.pii import pseudonymise, session_key
 from docloom.llm.quality import THRESHOLD, fit_machine, remainder, score_quality
 
+#: Languages that the pipeline keeps (None: every learnt one), and the least score: half of the words.
+LANGUAGES: Collection[str] | None = None
+LEAST_SCORE = 0.5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is at least ``THRESHOLD``; learns from the
@@ -26,11 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_quality") >= THRESHOLD).select(*docs.columns)
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language; those without letters go."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: Collection[str] | None = LANGUAGES, least: float = LEAST_SCORE) -> DataFrame:
+    """Keeps documents whose language is among the ``wanted`` ones (None: all that could be
+    learnt) and whose words bear it out to ``least``, the mean share of their marginals:
+    texts without letters go, and so do those that are a mixture or fit no language."""
     chain = fit_chain(docs.select("doc_id", "text", "lang").where(remainder("doc_id", 5) != 0))
     found = identify(docs, chain, lang_col="_lang", score_col="_score")
-    return found.where(F.col("_lang") != UNKNOWN).select(*docs.columns)
+    ok = F.col("_lang") != UNKNOWN if wanted is None else F.col("_lang").isin(list(wanted))
+    return found.where(ok & (F.col("_score") >= least)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
