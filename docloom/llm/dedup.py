@@ -2,22 +2,32 @@
 
 One hash of each shingle fills ``BANDS * ROWS`` bins with their least values; an empty bin
 copies the first filled bin of its own random order of bins.  Bands of bins are buckets.
-Texts with one shingle set are one node.  Within a bucket every node is paired with the
+Texts with one shingle set are one node, as are rows that share an id.  Within a bucket every node is paired with the
 bucket's least node alone (a star), and pairs are confirmed on whole shingle sets, first
 each node's most frequent centre, then the stars' other edges between different components.
-Buckets whose nodes then still belong to several components have their remaining pairs
-between components confirmed too, so that a star costs no link.  An exact bound keeps those
-few: of two sets of n and m shingles, u and w of which at most ``RARE`` such texts hold, at
-most min(n - u, m - w) are shared, unless the two share one of those rare shingles.  Pairs
-that do are found by the shingle, which gives each no more than ``RARE``**2 / 2 pairs.
+Buckets whose nodes then still belong to several components are searched so that a star
+costs no link, without a look at every pair:
+
+* An exact bound keeps few nodes: of two sets of n and m shingles, u and w of which at most
+  ``RARE`` such texts hold, at most min(n - u, m - w) are shared, unless the two share one of
+  those rare shingles.  Pairs that do are found by the shingle, which gives each no more than
+  ``RARE``**2 / 2 pairs.
+* Nodes confirmed with one centre are a cluster of known radius.  As one minus similarity is
+  a metric, no node of one cluster can be linked with one of another if their centres are
+  further apart than 1/4 plus both radii.  So centres are compared first, then the nodes of
+  the clusters that are left with the centre of the other, and nodes alone that may still
+  reach each other.  Each step's links are put together first, so that what they join needs
+  no look.  Pages of one template thus cost pairs of clusters, not pairs of pages.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75**7)**72 = 3e-5.
 
 Words are runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case.  Texts
 without words (null, empty, white space) have no shingles and link with nothing; so do
 rows without an id, whose component is null and which are kept.  Rows with equal ids are
-one document as to links, and are all returned.  An empty table gives no row; extra columns
-are left behind.
+one document as to links, whatever their texts: each text is a node, the nodes of one id
+belong together, and all rows are returned, each with its own number of shingles.  Very long
+texts are read whole.  An empty table gives no row; extra columns are left behind, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -97,13 +107,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size:
             offsets[1:] = np.cumsum([bands if len(s) else 0 for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), lists], ["doc_id", "n_shingles", "low", "high", "bands"]
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), lists],
+                ["doc_id", "text_hash", "n_shingles", "low", "high", "bands"],
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, chunk, role): a centre's text, then those of its partners.  Only
-    the centre's set is held from row to row."""
+    the centre's set is held from row to row.  Gives (a, b, common, total) of every pair."""
     centre, centre_set = None, np.zeros(0, np.uint64)
     for batch in slices(batches):
         a, chunk, role, b = (batch.column(i).to_pylist() for i in range(4))
@@ -115,11 +126,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
                 s = sets[i - lo]
                 if role[i] == 0:
                     centre, centre_set = (a[i], chunk[i]), s
-                elif centre == (a[i], chunk[i]) and len(s):
-                    common = len(s) + len(centre_set) - len(np.union1d(s, centre_set))
-                    if 100 * common >= percent * (len(s) + len(centre_set) - common):
-                        found.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                elif centre == (a[i], chunk[i]):
+                    total = len(np.union1d(s, centre_set))
+                    found.append((a[i], b[i], len(s) + len(centre_set) - total, total))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], ["a", "b", "common", "total"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -129,20 +139,20 @@ def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             sets = shingle_sets(texts[lo:hi], size)
             bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "shingles"])
 
 
 def rare_shingles(texts: DataFrame, scratch: Scratch, size: int = SHINGLE, most: int = RARE) -> DataFrame:
-    """(doc_id, shingle, holders) of the shingles that at most ``most`` of the texts hold.
+    """(node, shingle, holders) of the shingles that at most ``most`` of the texts hold.
     Holders are counted before the shuffle; the join drops frequent shingles."""
-    rows = texts.mapInArrow(lambda it: _shingles(it, size), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    rows = texts.mapInArrow(lambda it: _shingles(it, size), "node long, shingles array<long>").select("node", F.explode("shingles").alias("shingle"))
     held = scratch.keep(rows)
     few = scratch.keep(held.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") <= most))
     return scratch.keep(held.join(few, "shingle"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) whose shingle sets are similar enough.
+def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
+    """(a, b, common, total) of the written ``pairs`` (a, b): shingles in both sets, in either.
 
     A centre with many partners is dealt out in chunks of about ``STAR_CHUNK`` partners,
     each with its own copy of the centre's text.
@@ -153,69 +163,133 @@ def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int = SH
     centres = dealt.select("a", "chunk").distinct().join(texts.toDF("a", "text"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     partners = dealt.join(texts.toDF("b", "text"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "text")
     rows = centres.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return scratch.keep(rows.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long"))
+    return scratch.keep(rows.mapInArrow(lambda it: _confirm(it, size), "a long, b long, common long, total long"))
+
+
+class Links:
+    """Compares pairs of nodes, and keeps the labels that the links found so far give."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch, size: int, percent: int, labels: DataFrame):
+        self.texts, self.scratch, self.size, self.percent = texts, scratch, size, percent
+        self.labels = labels
+
+    def check(self, pairs: DataFrame) -> DataFrame | None:
+        """(a, b, common, total) of pairs (a, b) whose nodes are in different components; the
+        similar ones become links."""
+        known = self.labels.select("node", "label")
+        sides = pairs.select("a", "b").join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left")
+        apart = self.scratch.keep(sides.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").distinct())
+        if apart.isEmpty():
+            return None
+        found = confirm(apart, self.texts, self.scratch, self.size)
+        self.labels = components(self.similar(found), self.scratch, self.labels)
+        return found
+
+    def similar(self, found: DataFrame) -> DataFrame:
+        return found.where(100 * F.col("common") >= self.percent * F.col("total"))
+
+
+def _distance(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
+
+
+def search_mixed(members: DataFrame, leaders: DataFrame, links: Links, scratch: Scratch, size: int, percent: int) -> None:
+    """Finds the links that the stars of buckets with several components have missed.
+
+    ``members`` is (band, node, n), ``leaders`` (node, pivot, d): a centre that a node was
+    confirmed with, and their distance.
+    """
+    label = links.labels
+    labelled = scratch.keep(members.join(label, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")))
+    mixed = scratch.keep(labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("band"))
+    if mixed.isEmpty():
+        return
+    held = scratch.keep(labelled.join(mixed, "band"))
+    nodes = scratch.keep(held.select("node", "n").distinct())
+    rare = rare_shingles(links.texts.join(nodes.select("node"), "node", "left_semi"), scratch, size)
+    counts = scratch.keep(rare.groupBy("node").agg(F.count("*").alias("rare"), F.count_if(F.col("holders") == 1).alias("own")))
+
+    def enough(spent: str) -> DataFrame:
+        """(node, n, free) of the nodes whose shingles but the ``spent`` ones could do."""
+        free = nodes.join(counts, "node", "left").select("node", "n", (F.col("n") - F.coalesce(spent, F.lit(0))).alias("free"))
+        return free.where(100 * F.col("free") >= percent * F.col("n"))
+
+    # Pairs that share a rare shingle.
+    own = scratch.keep(rare.where("holders > 1").select("node", "shingle").join(enough("own"), "node"))
+    left, right = own.toDF("a", "shingle", "na", "fa"), own.toDF("b", "shingle", "nb", "fb")
+    bound = (100 + percent) * F.least("fa", "fb") >= percent * (F.col("na") + F.col("nb"))
+    links.check(left.join(right, "shingle").where((F.col("a") < F.col("b")) & bound).select("a", "b"))
+    # Pairs that share others: between clusters, by way of their centres.
+    rows = held.select("band", "node", "label").join(enough("rare"), "node").join(leaders, "node", "left")
+    rows = scratch.keep(rows.select("band", "node", "n", "free", "label", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")))
+    radius = scratch.keep(rows.groupBy("pivot").agg(F.max("d").alias("r")))
+    met = scratch.keep(rows.groupBy("band", "pivot").agg(F.min("label").alias("label"), F.max("free").alias("free"), F.min("n").alias("n")))
+    left, right = met.toDF("band", "p", "lp", "fp", "np"), met.toDF("band", "q", "lq", "fq", "nq")  # a cluster has one label
+    bound = (100 + percent) * F.least("fp", "fq") >= percent * (F.col("np") + F.col("nq"))
+    pivots = scratch.keep(left.join(right, "band").where((F.col("p") < F.col("q")) & (F.col("lp") != F.col("lq")) & bound).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+    if pivots.isEmpty():
+        return
+    apart = confirm(pivots, links.texts, scratch, size)
+    links.labels = components(links.similar(apart), scratch, links.labels)
+    reach, slack = 1 - percent / 100, 1e-9
+    near = _distance(apart).toDF("p", "q", "dpq").join(radius.toDF("p", "rp"), "p").join(radius.toDF("q", "rq"), "q")
+    near = near.where((F.col("rp") + F.col("rq") > 0) & (F.col("dpq") <= reach + slack + F.col("rp") + F.col("rq"))).select("p", "q")
+    near = scratch.keep(near.union(near.select("q", "p")))
+    if near.isEmpty():
+        return
+    # Nodes against the other cluster's centre (of their own they have the distance).
+    inside = scratch.keep(rows.select("node", "pivot", "d").distinct())
+    other = near.join(inside.toDF("node", "p", "d"), "p").select(F.col("q").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    seen = confirm(scratch.keep(other), links.texts, scratch, size)
+    links.labels = components(links.similar(seen), scratch, links.labels)
+    far = _distance(seen).toDF("q", "node", "dq").join(radius.toDF("q", "rq"), "q").where(F.col("dq") > reach + slack + F.col("rq")).select("q", "node")
+    ends = near.join(rows.toDF("band", "node", "n", "free", "label", "p", "d"), "p").join(scratch.keep(far), ["q", "node"], "left_anti")
+    ends = scratch.keep(ends.select("band", "p", "q", "node", "n", "free"))
+    left, right = ends.toDF("band", "p", "q", "a", "na", "fa"), ends.toDF("band", "q", "p", "b", "nb", "fb")
+    bound = (100 + percent) * F.least("fa", "fb") >= percent * (F.col("na") + F.col("nb"))
+    links.check(left.join(right, ["band", "p", "q"]).where((F.col("a") < F.col("b")) & bound).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``df``."""
     spark = df.sparkSession
     scratch = Scratch(spark, "dedup")
-    documents = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(
-        documents.mapInArrow(lambda it: _signatures(it, bands, rows, size), "doc_id long, n_shingles long, low long, high long, bands array<long>"), compression="none"
-    )
+    documents = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_shingles long, low long, high long, bands array<long>"
+    signed = scratch.keep(documents.mapInArrow(lambda it: _signatures(it, bands, rows, size), schema), compression="none")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(linkable.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    nodes = scratch.keep(linkable.join(classes, ["doc_id", "low", "high"]).select("doc_id", "n", "bands").dropDuplicates(["doc_id"]), compression="none")
-    keyed = nodes.select("doc_id", "n", F.explode("bands").alias("band"))
-    buckets = scratch.keep(keyed.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last").select("band", "centre"))
-    members = scratch.keep(keyed.join(buckets, "band").select("band", "doc_id", "n", "centre"))
+    # A node for each shingle set; written, so that its number stays.
+    sets = linkable.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash")).alias("_row"), F.max("n_shingles").alias("n"))
+    classes = scratch.keep(sets.select("low", "high", "_row.*", "n", F.monotonically_increasing_id().alias("node")))
+    nodes = scratch.keep(linkable.join(classes, ["doc_id", "text_hash", "low", "high"]).select("node", "n", "bands").dropDuplicates(["node"]), compression="none")
+    keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = scratch.keep(keyed.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("band", "centre"))
+    members = scratch.keep(keyed.join(buckets, "band").select("band", "node", "n", "centre"))
     scratch.drop(nodes)
-    stars = scratch.keep(members.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("hits")))
-    wanted = scratch.keep(members.select("doc_id").distinct())
+    stars = scratch.keep(members.where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("hits")))
+    wanted = scratch.keep(members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node"))
     few = wanted.count() <= BROADCAST_IDS
-    texts = scratch.keep(documents.join(F.broadcast(wanted) if few else wanted, "doc_id").dropDuplicates(["doc_id"]))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return confirm(pairs, texts, scratch, size, percent)
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of nodes in different components."""
-        one = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-        return one.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+    texts = scratch.keep(documents.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+    # Ids that stand for several texts link these.
+    several = linkable.groupBy("doc_id").agg(F.min(F.struct("low", "high")).alias("first"), F.max(F.struct("low", "high")).alias("last")).where("first != last").select("doc_id")
+    shared = scratch.keep(linkable.select("doc_id", "low", "high").join(several, "doc_id", "left_semi").distinct().join(classes.select("low", "high", "node"), ["low", "high"]).select("doc_id", "node"))
+    same = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
 
+    links = Links(texts, scratch, size, percent, components(same, scratch))
     # Each node's most frequent centre; then the other edges of the stars.
-    first = scratch.keep(stars.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"))
-    links = check(first)
-    labels = components(links, scratch)
-    second = scratch.keep(apart(stars.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"))
-    links = links.union(check(second))
-    labels = components(links, scratch)
-    # Buckets that still hold several components: every pair between them not yet looked at.
-    labelled = scratch.keep(members.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")))
-    mixed = scratch.keep(labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("band"))
-    held = scratch.keep(labelled.join(mixed, "band"))
-    rare = rare_shingles(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), scratch, size)
-    counts = scratch.keep(rare.groupBy("doc_id").agg(F.count("*").alias("rare"), F.count_if(F.col("holders") == 1).alias("own")))
-
-    def pairs_by(rows: DataFrame, key: str, spent: str) -> DataFrame:
-        """Pairs that agree in ``key``, of different components, that may share enough."""
-        left = rows.withColumn("free", F.col("n") - F.coalesce(spent, F.lit(0))).select(key, F.col("doc_id").alias("a"), "n", "label", "free").where(100 * F.col("free") >= percent * F.col("n"))
-        left = scratch.keep(left)
-        right = left.toDF(key, "b", "m", "other", "also")
-        bound = (100 + percent) * F.least("free", "also") >= percent * (F.col("n") + F.col("m"))
-        return left.join(right, key).where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & bound).select("a", "b").distinct()
-
-    counted = held.join(counts, "doc_id", "left")
-    nodes_held = scratch.keep(counted.select("doc_id", "n", "label", "own").distinct())
-    pairs = pairs_by(counted, "band", "rare").union(pairs_by(rare.where("holders > 1").select("doc_id", "shingle").join(nodes_held, "doc_id"), "shingle", "own")).distinct()
-    third = scratch.keep(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.union(check(third))
-    labels = components(links, scratch)
-    found = scratch.keep(classes.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("low", "high", F.coalesce("label", "doc_id").alias("component")))
+    first = links.check(stars.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"))
+    if first is not None:
+        second = links.check(stars.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        near = _distance(links.similar(first if second is None else first.unionByName(second)))
+        leaders = scratch.keep(near.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("_l")).select("node", F.col("_l.a").alias("pivot"), "_l.d"))
+        search_mixed(members.select("band", "node", "n"), leaders, links, scratch, size, percent)
+    # Labels are nodes; a component goes by its least id.
+    numbered = scratch.keep(classes.select("low", "high", "doc_id", "node").join(links.labels, "node", "left").select("low", "high", "doc_id", F.coalesce("label", "node").alias("label")))
+    linked = scratch.keep(numbered.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("sets")).where("sets > 1").select("label", "component"))
+    found = scratch.keep(numbered.join(linked, "label", "left").select("low", "high", F.coalesce("component", "doc_id").alias("component")))
     out = signed.select("doc_id", "n_shingles", "low", "high").join(found, ["low", "high"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
-    whole = out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    whole = out.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

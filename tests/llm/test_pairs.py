@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import brute_components, brute_sets
 from docloom.llm import ann, components, dedup
 from docloom.llm.common import Scratch
 from docloom.llm.textkit import Words, shingle_sets
@@ -12,30 +13,6 @@ from docloom.llm.textkit import Words, shingle_sets
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
-def brute_sets(text):
-    words = [w for w in (text or "").encode().translate(bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))).split(None)]
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def brute_components(docs):
-    sets = {d: brute_sets(t) for d, t in docs}
-    parent = {d: d for d in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                ra, rb = find(a), find(b)
-                parent[max(ra, rb)] = min(ra, rb)
-    return {d: (len(sets[d]), find(d)) for d in ids}
-
-
 def test_words_and_shingles():
     words = Words([b"One two\x0bthree", b"", b" one "])
     assert words.first.tolist() == [0, 3, 3, 4] and words.hashes()[0] == words.hashes()[3]
@@ -79,6 +56,47 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {d: (n, c, d == c) for d, (n, c) in want.items()}
 
 
+def template_pages(rng, n):
+    """Pages of one template and one of ten sections, a word or two of their own."""
+    template, sections = [f"t{i}" for i in range(60)], [[f"s{k}x{i}" for i in range(60)] for k in range(10)]
+    out = []
+    for i in range(n):
+        words = edited(rng, template + sections[i % 10], 1 + rng.randrange(2))
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_pairs_of_template_pages_grow_with_their_number(spark, monkeypatch):
+    sent = []
+    whole = dedup.confirm
+
+    def counted(pairs, *rest):
+        sent[-1] += pairs.count()
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(dedup, "confirm", counted)
+    for n in (400, 1600):
+        sent.append(0)
+        docs = template_pages(random.Random(n), n)
+        got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {i: i % 10 for i in range(n)}
+    assert sent[1] <= 5 * sent[0] and sent[1] <= 5 * 1600, sent
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    texts = [" ".join(edited(rng, [f"b{b}w{i}" for i in range(80)], rng.randrange(3))) for b in range(12) for _ in range(6)]
+    docs = [(i // 2 if i % 5 else i, t) for i, t in enumerate(texts)] + [(7, None), (500, "alone here"), (500, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets, label = [(d, brute_sets(t)) for d, t in docs], {d: d for d, _ in docs}
+    for _ in range(len(label)):  # ids linked by any of their texts
+        for d, x in sets:
+            for e, y in sets:
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    label[d] = label[e] = min(label[d], label[e])
+    assert got == {(d, len(x), label[d] if x else d, d == (label[d] if x else d)) for d, x in sets}
+
+
 def test_dedup_edges(spark, odd, empty):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(odd).collect())
     assert got == [(0, 1, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False), (7, 1, 7, True)]

@@ -3,6 +3,7 @@
 import os
 
 import corpus_pipeline as P
+from brute import brute_components
 from docloom.llm import langid, quality
 from docloom.llm.common import Scratch
 
@@ -32,8 +33,6 @@ def test_stages(spark):
     names, scores = chain.predict([(r.text or "").encode() for r in rows])
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r, x, y in zip(rows, names, scores, strict=True) if x != "und" and y >= P.LEAST_SCORE}
     before, after = kept["near_dedup"]
-    from tests_pairs_helper import brute_components
-
     groups = brute_components([(r.doc_id, r.text) for r in before.collect()])
     assert {r.doc_id for r in after.collect()} == {d for d, (_, c) in groups.items() if d == c}
     before, after = kept["personal_data"]
@@ -60,7 +59,9 @@ def test_run(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "language", "near_dedup", "personal_data", "packing"]
 
 
-def test_dedup_stage_keeps_one_row_of_each_id(spark, odd):
+def test_dedup_stage_keeps_one_row_of_each_id_and_text(spark, odd):
     docs = odd.select("doc_id", "text")
     got = sorted((r.doc_id or 0) for r in P.near_dedup(spark, docs, DATA).collect())
     assert got == [0, 1, 2, 3, 4, 5, 7]
+    clash = spark.createDataFrame([(1, "the first of two texts"), (1, "another text under that id"), (1, "another text under that id"), (2, "the first of two texts")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in P.near_dedup(spark, clash, DATA).collect()) == [(1, "another text under that id"), (1, "the first of two texts")]
