@@ -43,14 +43,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: Collecti
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest id, and
-    one row of each id.  Only ids of what goes, and of ids that repeat, are joined."""
+    """Keeps one document of each group of near duplicates, that with the smallest id.  Of
+    rows equal in id and text one stays (which one is open if other columns differ); rows that
+    share an id but not a text are different documents, and stay or go with their id.  Only
+    ids of what goes, and of ids that repeat, are joined."""
     scratch = Scratch(spark, "pipeline-dedup")
     found = scratch.keep(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"))
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     repeated = scratch.keep(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.join(scratch.keep(gone), "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
