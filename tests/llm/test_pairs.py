@@ -136,14 +136,34 @@ def test_search_in_a_dense_cluster(spark):
     centre = rng.normal(size=16)
     rows = [(i, (centre + rng.normal(0, 1e-3, 16) if i % 3 else rng.normal(size=16)).tolist()) for i in range(9000)] + [(9000 + i, centre.tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    index, book = ann.build_index(df, Scratch(spark, "t"))
-    found = ann.search(index, book, index.where("vec_id in (1, 3, 9200)").select("vec_id", "vector"))
+    index = ann.build_index(df, Scratch(spark, "t"), cell_rows=500)
+    assert len(index.cells.centres) == 19
+    found = ann.search(index, index.rows.where("vec_id in (1, 3, 9200)"))
     got = {q: [r.vec_id for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] for q in (1, 3, 9200)}
     want = brute_nearest(rows, [1, 3, 9200])
     assert got[9200] == list(range(9000, 9010))
     assert all(len(set(got[q]) & {i for i, _ in want[q]}) >= 9 for q in want)
 
 
+def test_cells_save_work_where_vectors_cluster(spark, monkeypatch):
+    """Far clusters: few cells are searched, parts and shares are small, recall stays."""
+    monkeypatch.setattr(ann, "SHARE_QUERIES", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(0, 0.3, 24)).tolist()) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build_index(df, Scratch(spark, "t"), cell_rows=200)
+    assert len(index.cells.centres) == 60 and index.cells.probes <= 15
+    found = ann.search(index, index.rows.where("vec_id % 100 = 0"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_nearest(rows, range(0, 12_000, 100))
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.95
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
@@ -164,8 +184,8 @@ def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, code double")
-    index, book = ann.build_index(df, Scratch(spark, "t"))
-    got = ann.search(index, book, index.where("vec_id % 6 = 0").select("vec_id", "vector")).orderBy("query_id", "rank").collect()
+    index = ann.build_index(df, Scratch(spark, "t"))
+    got = ann.search(index, index.rows.where("vec_id % 6 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 6, 1.0), (0, 2, 7, 1.0), (6, 1, 7, 0.0), (6, 2, 0, 1.0)]
-    none, no_book = ann.build_index(df.where("false"), Scratch(spark, "t"))
-    assert ann.search(none, no_book, none.select("vec_id", "vector")).count() == 0
+    none = ann.build_index(df.where("false"), Scratch(spark, "t"))
+    assert ann.search(none, none.rows).count() == 0
