@@ -1,14 +1,20 @@
 """WARC records in ZIP packages, read by range without extraction.
 
 Writing packs gzip members, one a record, into ``archive/data.warc.gz`` and their places
-into ``indexes/index.cdxj``, both *stored* members of a ZIP (the layout of web archive
-collections).  Reading parses the end record, its ZIP64 form and the central directory,
-finds where stored members begin, and reads each record with one range read.
+into ``indexes/index.cdxj``, both *stored* members of a ZIP file in the shared folder (the
+layout of web archive collections).  Reading is by path: a first step parses each file's end
+record, its ZIP64 form and the central directory, finds where stored members begin and reads
+the index; its entries are dealt out over all tasks as groups of (offset, length), and a
+second step fetches every record by one seek and read.  No step holds a package, so that
+files may have any size.  Paths are opened by ``pyarrow.fs``: local and shared folders,
+HDFS and the object stores that it knows.
 
 Nulls: a null payload is an empty one; a null or unprintable address is written empty or
 percent-encoded; a null id is kept.  Repeated rows are all written; rows that share the
 largest id of a group of equal payloads are all responses.  An empty table gives no
-archive and no row.  Extra columns are left behind.
+archive and no row.  Extra columns are left behind, whatever their names.  A very long
+payload is one record, and makes a package of its own if need be.  A task that runs twice
+leaves files that no row names, and that are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +41,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 4 << 20
 MIN_REVISIT = 1000
+GROUP = 64
 DATE = "2024-01-01T00:00:00Z"
 
 ReadAt = Callable[[int, int], bytes]
@@ -178,8 +186,8 @@ def _page(uri: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def read_archive(read_at: ReadAt, size: int) -> Iterator[tuple[int | None, int, str, str, int | None]]:
-    """(page id, payload bytes, SHA-1, record type, referred page) for each indexed record."""
+def index_entries(read_at: ReadAt, size: int) -> Iterator[tuple[int, int]]:
+    """(offset in the file, length) of each record that the package's index names."""
     directory = zip_directory(read_at, size)
     index_at, data_at = (member_start(read_at, directory[x]) for x in (INDEX, DATA))
     index = read_at(index_at, directory[INDEX].size)
@@ -187,13 +195,18 @@ def read_archive(read_at: ReadAt, size: int) -> Iterator[tuple[int | None, int,
         raise ValueError("bad checksum of the index")
     for line in index.splitlines():
         entry = json.loads(line.split(b" ", 2)[2])
-        record = parse_record(gzip.decompress(read_at(data_at + entry["offset"], entry["length"])))
-        kind = record.fields["warc-type"]
-        digest = base64.b32decode(record.fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-        n = int(record.http["content-length"])
-        if kind == "response" and (hashlib.sha1(record.payload).hexdigest() != digest or len(record.payload) != n):
-            raise ValueError("payload differs from its digest")
-        yield _page(record.fields["warc-record-id"]), n, digest, kind, _page(record.fields.get("warc-refers-to"))
+        yield data_at + entry["offset"], entry["length"]
+
+
+def read_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """(page id, payload bytes, SHA-1, record type, referred page) of a record's gzip member."""
+    record = parse_record(gzip.decompress(raw))
+    kind = record.fields["warc-type"]
+    digest = base64.b32decode(record.fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    n = int(record.http["content-length"])
+    if kind == "response" and (hashlib.sha1(record.payload).hexdigest() != digest or len(record.payload) != n):
+        raise ValueError("payload differs from its digest")
+    return _page(record.fields["warc-record-id"]), n, digest, kind, _page(record.fields.get("warc-refers-to"))
 
 
 def build_archive(records: list[tuple[str, bytes]]) -> bytes:
@@ -211,13 +224,17 @@ def build_archive(records: list[tuple[str, bytes]]) -> bytes:
 # --- Spark -------------------------------------------------------------------------
 
 
-def _write(batches: Iterator[pa.RecordBatch], archive_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], root: str, archive_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+    store, folder = fs.FileSystem.from_uri(root)
     held: list[tuple[str, bytes]] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
-        blob = build_archive(held)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary())], ["archive", "content"])
+        blob, name = build_archive(held), f"{uuid.uuid4().hex}.zip"
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/{name}") as out:
+            out.write(blob)
+        return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([len(blob)], pa.int64()), pa.array([len(held)], pa.int64())], ["path", "bytes", "records"])
 
     for batch in batches:
         for page_id, url, html, digest, refers_to in zip(*batch.columns, strict=True):
@@ -234,12 +251,24 @@ def _write(batches: Iterator[pa.RecordBatch], archive_bytes: int, level: int) ->
         yield packed()
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as file:
+                entries = list(index_entries(lambda at, n, file=file: file.read_at(n, at), file.size()))
+            groups = [entries[i : i + GROUP] for i in range(0, len(entries), GROUP)]
+            lists = [pa.array([[e[k] for e in g] for g in groups], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups), pa.string()), *lists], ["path", "offsets", "lengths"])
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        for blob in batch.column(0):
-            view = memoryview(blob.as_buffer())
-            rows = list(read_archive(lambda at, n, view=view: bytes(view[at : at + n]), len(view)))
+        for path, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as file:
+                rows = [read_record(file.read_at(n, at)) for at, n in zip(offsets, lengths, strict=True)]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -252,8 +281,9 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     return digests.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1 and response_id is not null").drop("n")
 
 
-def write_archives(pages: DataFrame, repeats: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = 4, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """(archive, content): ZIP packages of about ``archive_bytes``, written where the pages lie.
+def write_archives(pages: DataFrame, repeats: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 4, min_bytes: int = MIN_REVISIT) -> DataFrame:
+    """(path, bytes, records): ZIP files of about ``archive_bytes`` under ``root``, each written
+    by the task that reads its pages.
 
     ``repeats`` is the written table of ``revisits``.  Spark broadcasts it if its files are
     under its threshold; otherwise both sides shuffle on the digest and a hot digest's
@@ -263,13 +293,15 @@ def write_archives(pages: DataFrame, repeats: DataFrame, archive_bytes: int = AR
     marked = full.join(repeats, "payload_digest", "left")
     other = (F.col("response_id") != F.coalesce("page_id", F.col("response_id") - 1)) & (F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes)
     rows = marked.select("page_id", "url", "html", "payload_digest", F.when(other, F.col("response_id")).alias("refers_to"))
-    return rows.mapInArrow(lambda it: _write(it, archive_bytes, level), "archive string, content binary")
+    return rows.mapInArrow(lambda it: _write(it, root, archive_bytes, level), "path string, bytes long, records long")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Records of packages in a ``content`` column, be it a table's or that of
-    ``spark.read.format("binaryFile")`` over real files."""
-    return archives.select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """Records of the packages in a ``path`` column.  Groups of index entries are dealt out
+    anew, so that a large package is read by many tasks."""
+    entries = archives.select("path").mapInArrow(_entries, "path string, offsets array<long>, lengths array<long>")
+    dealt = entries.repartition("path", F.col("offsets")[0])
+    return dealt.mapInArrow(_fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +309,7 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     scratch = Scratch(spark, "warc")
     repeats = scratch.keep(revisits(pages))
-    archives = scratch.keep(write_archives(pages, repeats), compression="none", parquet__block__size=16 << 20)
-    return read_archives(archives)
+    return read_archives(scratch.keep(write_archives(pages, repeats, f"{scratch.root}/packages")))
 
 
 QUERIES = {"op4_warc_zip": op4_warc_zip}

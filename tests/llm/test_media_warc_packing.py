@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import itertools
@@ -113,19 +114,31 @@ def test_zip_reader_refuses_compressed_members():
 def test_warc_matches_brute_force(spark):
     rows = [(i, "http://x/ y\n", html, "z", 1) for i, html in [(1, "a" * 1000), (2, "a" * 1000), (9, "a" * 1000), (3, "a" * 999), (4, "a" * 999), (5, None), (6, None), (7, "é" * 500), (8, "é" * 500), (10, "b" * 2000), (10, "b" * 2000), (None, "a" * 1000)]]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, response_id int").select("page_id", "url", "html")
-    archives = warc.write_archives(pages, Scratch(spark, "t").keep(warc.revisits(pages)), archive_bytes=200)
+    scratch = Scratch(spark, "t")
+    archives = scratch.keep(warc.write_archives(pages, scratch.keep(warc.revisits(pages)), scratch.root + "/zip", archive_bytes=200))
+    assert archives.agg(F.sum("records")).first()[0] == 12 and archives.count() > 3
     found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(archives).collect()}
     assert found == {(1, 1000, "revisit", 9), (2, 1000, "revisit", 9), (9, 1000, "response", None), (3, 999, "response", None), (4, 999, "response", None), (5, 0, "response", None), (6, 0, "response", None), (7, 1000, "revisit", 8), (8, 1000, "response", None), (10, 2000, "response", None), (None, 1000, "revisit", 9)}
-    assert warc.read_archives(warc.write_archives(pages.where("false"), warc.revisits(pages))).count() == 0
-
-
-def test_warc_reads_real_files(spark, tmp_path):
-    record = warc.warc_record(7, "http://x", b"hello", hashlib.sha1(b"hello").hexdigest(), None)
-    import gzip
-
-    (tmp_path / "one.wacz").write_bytes(warc.build_archive([("http://x", gzip.compress(record))]))
-    r = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).first()
-    assert (r.page_id, r.payload_bytes, r.payload_digest, r.record_type) == (7, 5, hashlib.sha1(b"hello").hexdigest(), "response")
+    assert warc.read_archives(warc.write_archives(pages.where("false"), warc.revisits(pages), scratch.root + "/none")).count() == 0
+
+
+def test_warc_reads_files_by_range(spark, tmp_path):
+    """Packages of other writers, 64-bit records among them; reads stay within the records."""
+    record = lambda i: gzip.compress(warc.warc_record(i, "http://x", b"hello", hashlib.sha1(b"hello").hexdigest(), None))
+    members = [record(i) for i in range(150)]
+    blob = warc.build_archive([("http://x", m) for m in members])
+    directory = warc.zip_directory(lambda at, n: blob[at : at + n], len(blob))
+    parts = [(name, blob[(at := warc.member_start(lambda at, n: blob[at : at + n], m)) : at + m.size]) for name, m in directory.items()]
+    (tmp_path / "plain.zip").write_bytes(blob)
+    (tmp_path / "wide.wacz").write_bytes(warc.write_zip([("first.txt", b"x" * 5000), *parts], zip64=True))
+    paths = spark.createDataFrame([(str(tmp_path / "plain.zip"),), ("file://" + str(tmp_path / "wide.wacz"),)], "path string")
+    got = warc.read_archives(paths).collect()
+    assert sorted(r.page_id for r in got) == sorted([*range(150)] * 2)
+    assert {(r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == {(5, hashlib.sha1(b"hello").hexdigest(), "response", None)}
+    reads = []
+    blob = (tmp_path / "wide.wacz").read_bytes()
+    entries = list(warc.index_entries(lambda at, n: reads.append(n) or blob[at : at + n], len(blob)))
+    assert [n for _, n in entries] == [len(m) for m in members] and len(reads) <= 7
 
 
 def padding(counts, bounds):
