@@ -38,6 +38,11 @@ def count_of(c: Column, terms: Iterable[str]) -> Column:
     return n
 
 
+def gate(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether any of the patterns occurs: one pass instead of one a pattern."""
+    return text.rlike(regex("|".join(f"(?-i:{p[5:]})" if p.startswith("(?-i)") else f"(?:{p})" for p in patterns)))
+
+
 def first_match(text: Column, patterns: list[C.Pattern], tidy: bool = False) -> Column:
     """STRUCT(value, confidence, quote) of the first pattern that occurs, or null."""
     out = F.lit(None).cast("struct<value:string,confidence:double,quote:string>")
@@ -77,7 +82,7 @@ def reference(text: Column) -> Column:
     out = F.lit(None).cast("struct<value:string,confidence:double,quote:string>")
     for p in reversed(C.REGEX_REFERENCES):
         r = regex(p.pattern)
-        value = strip(F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r, 1), r"\s+", " "), r"(?i)\s+page.*$", ""))
+        value = strip(F.regexp_replace(F.regexp_replace(strip(F.regexp_extract(text, r, 1)), r"\s+", " "), r"(?iU)\s+(?:page|p\.|seite)\s*\d+\b", ""))
         found = F.struct(value.alias("value"), F.lit(p.weight).alias("confidence"), strip(F.regexp_extract(text, r, 0)).alias("quote"))
         out = F.when(text.rlike(r) & looks_like_reference(value), found).otherwise(out)
     return out
@@ -85,21 +90,26 @@ def reference(text: Column) -> Column:
 
 def brand(text: Column) -> Column:
     """The first known maker, as a whole word."""
-    return first_match(text, [C.Pattern(rf"(?<!\w)\Q{b}\E(?!\w)", b) for b in C.REGEX_BRANDS])
+    names = [C.Pattern(rf"(?<!\w)\Q{b}\E(?!\w)", b) for b in C.REGEX_BRANDS]
+    return F.when(gate(text, [p.pattern for p in names]), first_match(text, names))
 
 
 def model(text: Column, known: Column) -> Column:
-    """The first model pattern, those of the known brand before the others."""
-    own = F.lit(None).cast("string")
-    others = F.lit(None).cast("string")
-    for name, pattern in reversed(C.REGEX_MODELS):
-        hit = strip(F.regexp_extract(text, regex(pattern), 0))
-        there = text.rlike(regex(pattern))
-        own = F.when(there & (known == name), hit).otherwise(own)
-        others = F.when(there, hit).otherwise(others)
-    label = F.nullif(strip(F.regexp_extract(text, regex(r"(?:Model|Modèle|Type)\s*[:=]\s*([A-Z0-9][\w\-/ ]{2,40})"), 1)), F.lit(""))
-    value = F.coalesce(own, others)
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(0.9).alias("confidence"), value.alias("quote"))).when(label.isNotNull(), F.struct(label.alias("value"), F.lit(0.75).alias("confidence"), label.alias("quote")))
+    """The first model pattern, those of the known maker (whose name may be longer) before
+    the others; else what a label names."""
+    every = [C.Pattern(p, None) for own in C.REGEX_MODELS.values() for p in own]
+    first = F.lit(None).cast("struct<value:string,confidence:double,quote:string>")
+    for maker, own in reversed(C.REGEX_MODELS.items()):
+        named = F.startswith(F.lower(known), F.lit(maker.lower()))
+        first = F.when(F.coalesce(named, F.lit(False)), first_match(text, [C.Pattern(p, None) for p in own], tidy=True)).otherwise(first)
+    found = F.when(gate(text, [p.pattern for p in every]), F.coalesce(first, first_match(text, every, tidy=True)))
+    return F.coalesce(found, first_match(text, [C.Pattern(C.MODEL_LABEL, None, 0.75)], tidy=True))
+
+
+def panel(text: Column) -> Column:
+    """The panel that stands beside a maker's order number."""
+    m = first_match(text, [C.Pattern(f"({C.PANEL_MODEL})", None, 0.9)])
+    return F.when(m.isNotNull(), m.withField("value", F.concat(F.lit("SIMATIC HMI "), m["value"])))
 
 
 def protection(text: Column) -> Column:
@@ -109,29 +119,33 @@ def protection(text: Column) -> Column:
 
 
 def category(text: Column) -> Column:
-    label = r"(?:Cat(?:égorie|egorie)|Category|Type\s+d['’]?instrument)\s*[:=]\s*([^\n]{3,80})"
+    """What a label names, else transmitter where words suggest it."""
     low = F.lower(text)
     word = F.when(F.contains(low, F.lit("transmitter")), F.lit("transmitter")).when(F.contains(low, F.lit("transmetteur")), F.lit("transmetteur"))
-    guess = F.when(word.isNotNull() & any_of(low, ["level", "niveau", "pressure", "pression", "temp"]), F.struct(F.lit("Transmetteur").alias("value"), F.lit(0.8).alias("confidence"), word.alias("quote")))
-    return F.coalesce(first_match(text, [C.Pattern(label, None, 1.0)], tidy=True), guess)
+    guess = F.when(word.isNotNull() & any_of(low, C.CATEGORY_WORDS), F.struct(F.lit("Transmetteur").alias("value"), F.lit(0.8).alias("confidence"), word.alias("quote")))
+    return F.coalesce(first_match(text, [C.Pattern(C.CATEGORY_LABEL, None, 1.0)], tidy=True), guess)
 
 
 def measuring_range(text: Column) -> Column:
     """STRUCT(min, max, unit) of the first range whose 200 characters before it speak of a
-    range and whose minimum is below its maximum; null if a ratio follows such a word."""
+    range and whose minimum is below its maximum; null if a ratio follows such a word.
+
+    The text is cut before each range; a fold over the pieces carries the last 200
+    characters, so that work grows with the text alone.
+    """
     r = regex(C.RANGE_PATTERN)
-    ratio = text.rlike(r"(?isU)(?:range|plage|étendue|span).{0,80}\b\d+\s*:\s*\d+\b")
-    starts = F.split(text, regex(rf"(?=(?<![\d.,]){C.RANGE_PATTERN})"))
-    # Pieces begin with a match, all but the first; what stands before is their context.
-    def option(i: Column) -> Column:
-        piece = F.element_at(starts, i + 1)
-        before = F.lower(F.right(F.array_join(F.slice(starts, F.lit(1), i), ""), F.lit(200)))
+    ratio = text.rlike("(?isU)" + C.RANGE_RATIO)
+    pieces = F.split(text, regex(rf"(?=(?<![\d.,]){C.RANGE_PATTERN})"))
+    none = F.lit(None).cast("struct<min:double,max:double,unit:string>")
+
+    def step(seen: Column, piece: Column) -> Column:
         low, high = (F.replace(F.regexp_extract(piece, r, k), F.lit(","), F.lit(".")).cast("double") for k in (1, 2))
-        good = any_of(before, C.RANGE_CONTEXT) & (low < high)
-        return F.when(good, F.struct(low.alias("min"), high.alias("max"), F.regexp_extract(piece, r, 3).alias("unit")))
+        good = any_of(F.lower(seen["tail"]), C.RANGE_CONTEXT) & (low < high)
+        here = F.when(good, F.struct(low.alias("min"), high.alias("max"), F.regexp_extract(piece, r, 3).alias("unit")))
+        return F.struct(F.right(F.concat(seen["tail"], piece), F.lit(200)).alias("tail"), F.coalesce(seen["found"], here).alias("found"))
 
-    options = F.filter(F.transform(F.sequence(F.lit(1), F.size(starts) - 1), option), lambda x: x.isNotNull())
-    return F.when(~ratio & (F.size(starts) > 1), F.try_element_at(options, F.lit(1)))
+    found = F.aggregate(pieces, F.struct(F.lit("").alias("tail"), none.alias("found")), step, lambda seen: seen["found"])
+    return F.when(text.rlike(r) & ~ratio, found)
 
 
 def tag_code(text: Column) -> Column:
@@ -203,13 +217,12 @@ def route_category(text: Column) -> Column:
 def simple_quantity(text: Column) -> Column:
     """Quantity by plain keyword counts: at least 3 hits and 2 more than the next."""
     low = F.lower(text)
-    n = lambda p, c=low: F.regexp_count(c, F.lit("(?U)" + p))
-    scores = [
-        ("Pression", n(r"\bpressure\b") + n(r"\bpression\b") + 2 * n(r"\bdifferential\s+pressure\b") + 2 * n(r"\bgauge\s+pressure\b") + n(r"\bmbar\b|\bpsi\b")),
-        ("Debit", n(r"\bflow\b") + n(r"\bdebit\b|\bdébit\b") + 2 * n(r"\bflowmeter\b|\bflow\s*meter\b") + n(r"\bm3/h\b|\bl/h\b|\bgph\b|\bgpm\b")),
-        ("Niveau", n(r"\blevel\b") + n(r"\bniveau\b") + 2 * n(r"\blevel\s+transmitt\b")),
-        ("Temperature", n(r"\btemperature\b|\btempérature\b") + 2 * n(r"\bthermocouple\b|\bRTD\b|\bPT100\b|\bPT1000\b", text) + n(r"\b°c\b|\b°f\b")),
-    ]
+    scores = []
+    for name, words in C.SIMPLE_QUANTITIES:
+        total = F.lit(0)
+        for p, weight in words:
+            total = total + weight * F.regexp_count(text if p == C.CASED_KEYWORDS else low, F.lit("(?U)" + p))
+        scores.append((name, total))
     ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores)]))
     best, second = -ranked[0]["s"], -ranked[1]["s"]
     return F.when((best >= 3) & (best - second >= 2), F.struct(ranked[0]["k"].alias("value"), F.lit(0.8).alias("confidence")))

@@ -57,23 +57,36 @@ def char_windows(text: Column, size: int = 6000, overlap: int = 200) -> Column:
     return F.when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
 
 
-def sentence_units(text: Column, smallest: int = 1) -> Column:
-    """Paragraphs (at blank lines), then sentences before a capital, accented capital or digit."""
-    parts = F.split(text, r"\n\s*\n")
-    sentences = F.flatten(F.transform(parts, lambda p: F.split(strip(p), r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ0-9])")))
-    return F.filter(F.transform(sentences, strip), lambda s: F.length(s) >= smallest)
-
+TABLE_MARK = "[TABLE DATA]"
 
-def merge_units(units: Column, small: int = 40) -> Column:
-    """A unit joins the one before it with a space while that is shorter than ``small``."""
-    empty = F.array().cast("array<string>")
 
-    def step(done: Column, unit: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", last, unit)))
-        return F.when((F.size(done) > 0) & (F.length(last) < small), joined).otherwise(F.concat(done, F.array(unit)))
-
-    return F.aggregate(units, empty, step)
+def sentence_units(text: Column, smallest: int = 1) -> Column:
+    """Paragraphs (at blank lines), then sentences before a capital, accented capital or
+    digit.  A table block is set off from the text before it, and its paragraph stays whole."""
+    before = strip(F.substring_index(text, TABLE_MARK, 1))
+    block = strip(F.substring(text, F.instr(text, TABLE_MARK) + len(TABLE_MARK), F.length(text)))
+    text = F.when(F.contains(text, F.lit(TABLE_MARK)) & (before != ""), F.concat(before, F.lit(f"\n\n{TABLE_MARK}\n"), block)).otherwise(text)
+    sentences = lambda p: F.when(F.contains(p, F.lit(TABLE_MARK)), F.array(p)).otherwise(F.split(p, r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ0-9])"))
+    units = F.flatten(F.transform(F.split(text, r"\n\s*\n"), lambda p: sentences(strip(p))))
+    return F.filter(F.transform(units, strip), lambda s: F.length(s) >= smallest)
+
+
+def merge_units(units: Column, small: int = 40, block: int = 64) -> Column:
+    """A unit joins the one before it with a space while that is shorter than ``small`` and no
+    table.  The fold fills lists of ``block`` units, so that a step copies no long list."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("own"))
+
+    def step(seen: Column, unit: Column) -> Column:
+        done, own = seen["done"], seen["own"]
+        last = F.try_element_at(own, F.lit(-1))
+        joins = (F.size(own) > 0) & (F.length(last) < small) & ~F.contains(last, F.lit(TABLE_MARK))
+        full = F.size(own) >= block
+        joined = F.concat(F.slice(own, 1, F.size(own) - 1), F.array(strip(F.concat_ws(" ", last, unit))))
+        return F.struct(
+            F.when(full & ~joins, F.concat(done, F.array(own))).otherwise(done).alias("done"), F.when(joins, joined).when(full, F.array(unit)).otherwise(F.concat(own, F.array(unit))).alias("own")
+        )
+
+    return F.aggregate(units, start, step, lambda seen: F.concat(F.flatten(seen["done"]), seen["own"]))
 
 
 def table_markdown(cells: Column) -> Column:

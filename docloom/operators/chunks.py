@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_windows, merge_units, sentence_units, strip, table_markdown
+from ..functions.text import TABLE_MARK, char_windows, merge_units, sentence_units, strip, table_markdown
 
 TARGET = 2000
 OVERLAP = 80
@@ -39,7 +39,7 @@ def window_chunks(units: DataFrame, target: int = TARGET, overlap: int = OVERLAP
 def segmented_chunks(units: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """``window_chunks`` with oversized table units standing alone: each ends a segment."""
     order = Window.partitionBy("doc_id", "page_number").orderBy("unit_no")
-    big = F.col("unit").startswith("[TABLE DATA]") & (F.length("unit") > target)
+    big = F.contains("unit", F.lit(TABLE_MARK)) & (F.length("unit") > target)
     marked = units.withColumn("_big", big).withColumn("_seg", F.sum(big.cast("int")).over(order) * 2 - big.cast("int"))
     small = window_chunks(marked.where("not _big"), target, overlap, ("doc_id", "page_number", "_seg"))
     alone = marked.where("_big").select("doc_id", "page_number", "_seg", F.lit(0).alias("chunk_index"), F.lit(0).alias("first_unit"), F.lit(0).alias("last_unit"), F.col("unit").alias("text"))
@@ -52,11 +52,17 @@ def chunk_id(doc: Column, page: Column, index: Column) -> Column:
 
 
 def text_chunks(pages: DataFrame) -> DataFrame:
-    """Chunk rows of pages with text."""
-    found = window_chunks(page_units(pages.where(strip(F.col("text")) != "")))
+    """Chunk rows of pages with text; oversized table blocks in it stand alone."""
+    found = segmented_chunks(page_units(pages.where(strip(F.col("text")) != "")))
     return found.select("doc_id", chunk_id(F.col("doc_id"), F.col("page_number"), F.col("chunk_index")).alias("chunk_id"), "text", "page_number", "chunk_index", F.lit("text").alias("chunk_type"))
 
 
+def with_tables(pages: DataFrame) -> DataFrame:
+    """Pages whose ``tables`` (texts) follow their text as one block."""
+    block = F.concat(F.lit(f"\n\n{TABLE_MARK}\n"), F.array_join("tables", "\n"))
+    return pages.withColumn("text", F.when(F.size("tables") > 0, F.concat(F.coalesce("text", F.lit("")), block)).otherwise(F.col("text")))
+
+
 def table_chunks(tables: DataFrame) -> DataFrame:
     """Of (doc_id, page_number, table_no, cells): a summary chunk and one for each non-blank
     row; row indexes count blank ones."""

@@ -43,23 +43,35 @@ def full_texts(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(parts, separator).alias("full_text"), F.count("*").alias("n_pages"))
 
 
-def layout_metrics(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, image_count, text_area_ratio, max_image_area_ratio) of blocks
-    (doc_id, page_number, x0, y0, x1, y1, text, block_type); zeros for pages without area."""
+def layout_metrics(blocks: DataFrame, pages: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_number, image_count, drawing_count, text_area_ratio, max_image_area_ratio,
+    max_drawing_area_ratio) of blocks (doc_id, page_number, x0, y0, x1, y1, text, block_type)
+    and drawings (doc_id, page_number, x0, y0, x1, y1); zeros for pages without area."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    sums = blocks.groupBy("doc_id", "page_number").agg(F.sum(F.when(F.col("block_type") == 0, area)).alias("_text"), F.count_if(F.col("block_type") == 1).alias("_images"), F.max(F.when(F.col("block_type") == 1, area)).alias("_image"))
+    key = ["doc_id", "page_number"]
+    kinds = blocks.select(*key, area.alias("area"), "block_type")
+    if drawings is not None:
+        kinds = kinds.unionByName(drawings.select(*key, area.alias("area"), F.lit(-1).alias("block_type")))
+    of = lambda k: F.when(F.col("block_type") == k, F.col("area"))
+    sums = kinds.groupBy(*key).agg(
+        F.sum(of(0)).alias("_text"), F.count_if(F.col("block_type") == 1).alias("_images"), F.max(of(1)).alias("_image"), F.count_if(F.col("block_type") == -1).alias("_drawings"), F.max(of(-1)).alias("_drawing")
+    )
     page = F.col("width") * F.col("height")
     ratio = lambda x: F.coalesce(F.when(page > 0, F.col(x) / page), F.lit(0.0))
-    return pages.join(sums, ["doc_id", "page_number"], "left").select(
-        "doc_id", "page_number", F.coalesce("_images", F.lit(0)).alias("image_count"), ratio("_text").alias("text_area_ratio"), ratio("_image").alias("max_image_area_ratio")
-    )
+    number = lambda x: F.coalesce(F.when(page > 0, F.col(x)), F.lit(0))
+    return pages.join(sums, key, "left").select(
+        *key, number("_images").alias("image_count"), number("_drawings").alias("drawing_count"), ratio("_text").alias("text_area_ratio"), ratio("_image").alias("max_image_area_ratio"), ratio("_drawing").alias("max_drawing_area_ratio")
+    )
 
 
-def group_rows(blocks: DataFrame, tolerance: float = 5.0) -> DataFrame:
+def group_rows(blocks: DataFrame, tolerance: float = 5.0, least: int = 2) -> DataFrame:
     """(doc_id, page_number, row_no, row_text): blocks in reading order, a new row where the
-    step down from the block before is ``tolerance`` or more; rows of one cell go."""
-    order = Window.partitionBy("doc_id", "page_number").orderBy("y0", "x0")
+    step down from the block before is ``tolerance`` or more; rows of one cell go, and so do
+    pages that have less than ``least`` others."""
+    page = Window.partitionBy("doc_id", "page_number")
+    order = page.orderBy("y0", "x0")
     jump = F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(order)) >= tolerance).cast("int"), F.lit(0))
-    rows = blocks.where(strip(F.col("text")) != "").withColumn("_jump", jump).withColumn("row_no", F.sum("_jump").over(order))
+    rows = blocks.withColumn("_jump", jump).withColumn("row_no", F.sum("_jump").over(order))
     cells = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda c: strip(c["text"]))
-    return rows.groupBy("doc_id", "page_number", "row_no").agg(F.array_join(cells, " | ").alias("row_text"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    grouped = rows.groupBy("doc_id", "page_number", "row_no").agg(F.array_join(cells, " | ").alias("row_text"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return grouped.withColumn("_rows", F.count("*").over(page)).where(F.col("_rows") >= least).drop("_rows")

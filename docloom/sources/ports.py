@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .. import catalog as C
 from ..functions.text import char_windows
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -79,7 +80,7 @@ def overlap_reranker(text: Column, instruction: Column) -> Column:
 
 
 def extraction_port(ask: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
-    """A frame function (doc_id, field, prompt) -> (doc_id, field, value, confidence, quote,
+    """A frame function (doc_id, field, prompt) -> (doc_id, field, value, kind, confidence, quote,
     error).  The answer is a JSON object; a failed call or broken JSON gives null and 0."""
     schema = "doc_id string, field string, answer string, error string"
 
@@ -100,18 +101,36 @@ def extraction_port(ask: Callable[[str], str]) -> Callable[[DataFrame], DataFram
     return apply
 
 
+def pattern_answerer(patterns: dict[str, str]) -> Callable[[str], str]:
+    """Stand-in: answers with the first group of a field's pattern in the excerpts."""
+    import json
+    import re
+
+    def ask(prompt: str) -> str:
+        field = re.search(r"^Field: (.*)$", prompt, re.M)[1]
+        m = re.search(patterns[field], prompt.partition("\nExcerpts:\n")[2]) if field in patterns else None
+        return json.dumps({"value": m and m[1], "confidence": 0.9 if m else 0.0, "quote": m and m[0]})
+
+    return ask
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Value, confidence and quote of JSON answers; broken ones give null, 0 and a reason."""
+    """(doc_id, field, value, kind, confidence, quote, error) of JSON answers; lists are joined
+    by ``|``; broken ones give null, 0 and a reason."""
     parsed = F.try_parse_json("answer")
     get = lambda k, t: F.try_variant_get(parsed, f"$.{k}", t)
     bad = parsed.isNull() & F.col("error").isNull()
+    name = F.schema_of_variant(get("value", "variant"))
+    kind = F.when(F.startswith(name, F.lit("ARRAY")), "list").when(name == "BOOLEAN", "boolean").when(name == "STRING", "string").when(name.isNotNull() & (name != "VOID"), "number")
+    value = F.when(kind == "list", F.array_join(get("value", "array<string>"), "|")).otherwise(get("value", "string"))
     return answers.select(
-        "doc_id", "field", get("value", "string").alias("value"), F.coalesce(get("confidence", "double"), F.lit(0.0)).alias("confidence"), get("quote", "string").alias("quote"), F.when(bad, "invalid JSON").otherwise(F.col("error")).alias("error")
+        "doc_id", "field", value.alias("value"), kind.alias("kind"), F.coalesce(get("confidence", "double"), F.lit(0.0)).alias("confidence"), get("quote", "string").alias("quote"), F.when(bad, "invalid JSON").otherwise(F.col("error")).alias("error")
     )
 
 
 def prompts(fields: DataFrame, excerpts: DataFrame, catalog: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
-    """(doc_id, field, prompt) from excerpts, allowed values, context and past corrections."""
+    """(doc_id, field, prompt) from the field's rule, allowed values, what is known of the
+    document (a ``context`` column of ``fields``, if there), past corrections and excerpts."""
     rows = fields.join(excerpts, ["doc_id", "field"], "left").join(F.broadcast(catalog.select("field", "allowed_values")), "field", "left")
     if corrections is not None:
         line = F.format_string("AI: %s -> user: %s%s", F.coalesce("ai_value", F.lit("null")), F.coalesce("user_value", F.lit("null")), F.coalesce(F.concat(F.lit(" (rule: "), F.col("rule"), F.lit(")")), F.lit("")))
@@ -119,9 +138,12 @@ def prompts(fields: DataFrame, excerpts: DataFrame, catalog: DataFrame, correcti
         rows = rows.join(past, "field", "left")
     else:
         rows = rows.withColumn("past", F.lit(None).cast("string"))
+    told = F.create_map(*[F.lit(x) for pair in C.FIELD_RULES.items() for x in pair])
+    rule = F.concat(F.lit("\nRule: "), F.coalesce(F.try_element_at(told, F.col("field")), F.lit("The value as it stands.")))
     options = F.when(F.col("allowed_values").isNotNull(), F.concat(F.lit("\nAllowed: "), F.array_join("allowed_values", ", "))).otherwise(F.lit(""))
+    context = F.coalesce(F.concat(F.lit("\nKnown: "), F.nullif("context", F.lit(""))), F.lit("")) if "context" in fields.columns else F.lit("")
     history = F.when(F.col("past").isNotNull(), F.concat(F.lit("\nPast corrections:\n"), F.col("past"))).otherwise(F.lit(""))
-    text = F.concat(F.lit("Field: "), F.col("field"), options, history, F.lit("\nExcerpts:\n"), F.coalesce("excerpts", F.lit("")), F.lit('\nAnswer as JSON {"value", "confidence", "quote"}.'))
+    text = F.concat(F.lit("Field: "), F.col("field"), rule, options, context, history, F.lit('\nAnswer as JSON {"value", "confidence", "quote"}, null where the excerpts do not say it.\nExcerpts:\n'), F.coalesce("excerpts", F.lit("")))
     return rows.select("doc_id", "field", text.alias("prompt"))
 
 

@@ -16,8 +16,9 @@ PAGE_SCHEMA = T.StructType(
 )
 CORRECTION_SCHEMA = "pdf_id string, field_name string, ai_value string, user_value string, category string, type_mesure string, ts timestamp, accepted boolean, rule string"
 
-#: A parser gives (text, image_count, tables) for each page of a document's bytes.
-Parser = Callable[[bytes], Iterator[tuple[str, int, list]]]
+#: A parser gives (text, image_count, tables) for each page of a document's bytes; tables may
+#: also be a function that gives them, which may fail without loss of the page.
+Parser = Callable[[bytes], Iterator[tuple[str, int, list | Callable[[], list]]]]
 
 
 def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", streaming: bool = False) -> DataFrame:
@@ -27,21 +28,32 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", streaming:
 
 
 def parse_pages(files: DataFrame, parser: Parser) -> DataFrame:
-    """One row per page; a document that fails gives one row with the error and no text."""
+    """One row per page; where a document fails, the pages before stay and one row has the
+    error and no text.  Tables that fail are an empty list."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                i = 0
                 try:
-                    rows += [(path, i, text, images > 0, images, tables, None) for i, (text, images, tables) in enumerate(parser(content), 1)]
+                    for text, images, tables in parser(content):
+                        i += 1
+                        rows.append((path, i, text, images > 0, images, _tables(tables), None))
                 except Exception as e:  # a broken file must not stop the corpus
-                    rows.append((path, None, None, False, 0, [], f"{type(e).__name__}: {e}"))
+                    rows.append((path, i + 1 if i else None, None, False, 0, [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=PAGE_SCHEMA.names)
 
     return files.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
+def _tables(tables: list | Callable[[], list]) -> list:
+    try:
+        return tables() if callable(tables) else tables
+    except Exception:
+        return []
+
+
 def plain_text_parser(content: bytes) -> Iterator[tuple[str, int, list]]:
     """A stand-in parser: UTF-8 text with form feeds between pages.  Not a PDF parser."""
     for page in content.decode("utf-8").split("\f"):
@@ -142,6 +154,11 @@ class Store:
     def read(self, collection: str) -> DataFrame:
         return self.spark.read.parquet(self._path(collection))
 
+    def replace(self, collection: str, chunks: DataFrame, embed: Callable[[Column], Column] | None = None, shortest: int = 0) -> None:
+        """A collection with these chunks alone."""
+        self.clear(collection)
+        self.add(collection, chunks, embed, shortest)
+
     def clear(self, collection: str) -> None:
         """Delete best effort: a missing collection is no error."""
         fs, path = self._fs()

@@ -26,6 +26,11 @@ def distinct_corrections(log: DataFrame, watermark: str | None = "1 day") -> Dat
     return log.dropDuplicates(KEYS)
 
 
+def already_there(new: DataFrame, log: DataFrame) -> DataFrame:
+    """Corrections of which the log has one with the same field and both values."""
+    return new.join(log.select(*KEYS).distinct(), KEYS, "left_semi")
+
+
 def latest_corrections(log: DataFrame, n: int = 5, category: str | None = None) -> DataFrame:
     """The last ``n`` corrections of each field, oldest first, of one category or all."""
     rows = log if category is None else log.where(F.col("category") == category)
