@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +19,97 @@ def with_norm(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("_norm", F.sqrt(dot(F.col(vector), F.col(vector))))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None, shortest: int = 0, skip_self: bool = True) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the ``k`` nearest by cosine distance, ties by id.
-
-    ``vectors`` is (vec_id, embedding, *on), ``queries`` (query_id, embedding, *on).  With
-    ``on`` the search stays inside equal keys (a metadata filter, an equi-join); without, the
-    query set, which the caller bounds, is joined to every vector.  The rank limit is
-    applied before the shuffle too, so that each task sends ``k`` rows a query.
-    A zero or null vector has no distance and is never found.
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (group, part, share, role, id): of each triple the vectors (role 0),
+    which are held as a matrix, then the queries, multiplied with it in blocks."""
+    key, held, ids, units = None, [], np.zeros(0, np.int64), np.zeros((0, 0))
+    for batch in batches:
+        groups = batch.column(0).to_pylist()
+        triple = np.stack([np.asarray(batch.column(i)) for i in (1, 2, 3)], axis=1)
+        new = (triple[1:] != triple[:-1]).any(axis=1) | np.array([a != b for a, b in zip(groups[1:], groups[:-1], strict=True)], bool)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [batch.num_rows]]).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if (groups[lo], *triple[lo, :2]) != key:
+                key, held, units = (groups[lo], *triple[lo, :2]), [], None
+            own, x = np.asarray(batch.column(4).slice(lo, hi - lo)), np.asarray(batch.column(5).slice(lo, hi - lo).flatten(), np.float64).reshape(hi - lo, -1)
+            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            if triple[lo, 2] == 0:
+                held.append((own, x))
+                continue
+            if units is None:
+                if not held:
+                    continue
+                ids, units = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                held = []
+            for i in range(0, len(own), 256):
+                q = own[i : i + 256]
+                distance = np.round(1 - x[i : i + 256] @ units.T, 9) + 0.0
+                if skip_self:
+                    distance[q[:, None] == ids[None]] = np.inf
+                near = np.argpartition(distance, min(k, len(ids)) - 1, axis=1)[:, : min(k, len(ids))]
+                edge = np.take_along_axis(distance, near, axis=1).max(axis=1)  # with all ties
+                row, at = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(ids[at]), pa.array(distance[row, at])], ["query_id", "vec_id", "distance"])
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None, skip_self: bool = True, part_rows: int = 8192, share_queries: int = 65_536) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the ``k`` nearest by cosine distance, rounded to 9
+    places, ties by id; exact.
+
+    ``vectors`` is (vec_id, embedding, *on), ``queries`` (query_id, embedding, *on).  Vectors
+    are dealt out in parts and queries in shares; rows of both meet by an equi-join on (group,
+    part, share), where the group is the width and the ``on`` columns (a metadata filter), and
+    are multiplied as matrices, so that a task holds one part and sends about ``k`` rows a
+    query.  A zero or null vector, or one with a null in it, has no distance and is not found.
     """
-    q = with_norm(queries).withColumnsRenamed({"embedding": "_q", "_norm": "_qn"})
-    v = with_norm(vectors)
-    pairs = v.join(q, on) if on else v.join(q, F.lit(True))
-    distance = F.when((F.col("_norm") > 0) & (F.col("_qn") > 0), 1 - dot(F.col("embedding"), F.col("_q")) / (F.col("_norm") * F.col("_qn")))
-    near = pairs.select("query_id", "vec_id", F.round(distance, 9).alias("distance")).where("distance is not null")
-    if skip_self:
-        near = near.where("query_id != vec_id")
+    keys = on or []
+    parts = max(1, -(-vectors.count() // part_rows))
+    shares = max(1, -(-queries.count() // share_queries))
+
+    def rows(df: DataFrame, id_col: str, role: int) -> DataFrame:
+        v = F.col("embedding").cast("array<double>")
+        whole = df.where(F.col(id_col).isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull()))
+        for c in keys:  # as in a join, null keys meet nothing
+            whole = whole.where(F.col(c).isNotNull())
+        group = F.to_json(F.struct(F.size("embedding").alias("_n"), *keys))
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+        part, share = (own(parts), copies(shares)) if role == 0 else (copies(parts), own(shares))
+        return whole.select(group.alias("group"), part.alias("part"), share.alias("share"), F.lit(role).alias("role"), F.col(id_col).cast("long").alias("id"), v.alias("vector"))
+
+    met = rows(vectors, "vec_id", 0).unionByName(rows(queries, "query_id", 1)).repartition("group", "part", "share").sortWithinPartitions("group", "part", "share", "role", "id")
+    near = met.mapInArrow(lambda it: _nearest(it, k, skip_self), "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
+def quote_matches(texts: DataFrame, quotes: DataFrame, size: int = 4) -> DataFrame:
+    """(item_id, doc_id) of the quotes (item_id, text), stripped and in small letters, that
+    occur word for word in texts (doc_id, text).
+
+    Words inside a quote, all but its first and last, stand whole in any text that holds it.
+    So the longest run of up to ``size`` of them is the quote's key: texts are joined on the
+    hashes of their runs, and what meets is compared.  Quotes of fewer than three words have
+    no such run and are compared with every text.
+    """
+    clean = quotes.select("item_id", F.lower(F.trim("text")).alias("quote")).where("quote is not null")
+    inner = clean.withColumn("_w", F.split("quote", r"\s+")).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    run = F.least(F.size("_w"), F.lit(size))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - run + 1), lambda i: F.array_join(F.slice("_w", i, run), " "))
+    longest = F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r"))))[0]["r"]
+    keyed = inner.where("size(_w) > 0").select("item_id", "quote", run.alias("n"), F.xxhash64(longest).alias("key"))
+    low = texts.select("doc_id", F.lower("text").alias("low")).where("low is not null")
+    words = low.withColumn("_w", F.split("low", r"\s+"))
+    hashes = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
+    found = None
+    for (n,) in keyed.select("n").distinct().collect():  # at most ``size`` numbers
+        each = words.where(F.size("_w") >= n).select("doc_id", "low", F.explode(F.array_distinct(hashes(n))).alias("key"))
+        hit = each.join(keyed.where(F.col("n") == n).drop("n"), "key").where(F.contains("low", F.col("quote"))).select("item_id", "doc_id")
+        found = hit if found is None else found.unionByName(hit)
+    short = low.join(inner.where("size(_w) = 0").select("item_id", "quote"), F.contains("low", F.col("quote"))).select("item_id", "doc_id")
+    return short if found is None else found.unionByName(short)
+
+
 def within(hits: DataFrame, most: float | None) -> DataFrame:
     """Hits up to a distance; a missing distance counts as 1, no limit keeps all."""
     return hits if most is None else hits.where(F.coalesce("distance", F.lit(1.0)) <= most)
@@ -97,20 +170,3 @@ def self_retrieval(found: DataFrame) -> DataFrame:
     """(n, hits, rate) of (query_id, vec_id) rows: queries that found themselves."""
     per = found.groupBy("query_id").agg(F.max((F.col("query_id") == F.col("vec_id")).cast("int")).alias("hit"))
     return per.agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("rate"))
-
-
-def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, width: float = 0.6, tables: int = 6) -> DataFrame:
-    """Approximate ``cosine_topk`` by random projections of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, id_col: str) -> DataFrame:
-        raw = df.select(F.col(id_col).alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(raw).drop("raw")
-
-    own = unit(vectors, "vec_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=1).fit(own)
-    pairs = lsh.approxSimilarityJoin(own, unit(queries, "query_id"), 2.0, distCol="euclid")
-    near = pairs.select(F.col("datasetB.id").alias("query_id"), F.col("datasetA.id").alias("vec_id"), F.round(F.col("euclid") ** 2 / 2, 9).alias("distance")).where("query_id != vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

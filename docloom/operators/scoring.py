@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from ..catalog import Pattern
 from ..functions.confidence import quote_parts
 
 
+#: A pattern that is one whole word.
+_PLAIN = re.compile(r"\\b([^\W_]+)\\b")
+
+
 def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit("(?U)" + pattern))
 
@@ -25,13 +30,25 @@ def label_scores(df: DataFrame, patterns: list[Pattern], text: str = "text", hea
     ``head`` characters.  The table becomes expressions in the row's own scan: no join and
     no shuffle, every pattern compiled once.
     """
+    plain = {p: m[1] for p in patterns if (m := _PLAIN.fullmatch(p.pattern))}
     low = df.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("_low")).withColumn("_head", F.left("_low", F.lit(head)))
+    if plain:  # whole words are looked for together, in one pass
+        words = F.lit(r"(?U)\b(?:" + "|".join(dict.fromkeys(plain.values())) + r")\b")
+        low = low.withColumns({"_words": F.regexp_extract_all("_low", words, 0), "_first": F.regexp_extract_all("_head", words, 0)})
     labels = list(dict.fromkeys(p.value for p in patterns))
     scores = []
     for i, label in enumerate(labels):
         total = F.lit(0.0)
+        weights: dict[str, float] = {}
         for p in (p for p in patterns if p.value == label):
-            total = total + hits(F.col("_low"), p.pattern) * p.weight + (boost * p.weight) * hits(F.col("_head"), p.pattern)
+            if p in plain:
+                weights[plain[p]] = weights.get(plain[p], 0.0) + p.weight
+            else:
+                total = total + hits(F.col("_low"), p.pattern) * p.weight + (boost * p.weight) * hits(F.col("_head"), p.pattern)
+        if weights:
+            table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+            own = lambda c, table=table: F.aggregate(c, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+            total = total + own("_words") + boost * own("_first")
         scores.append(F.struct(F.lit(label).alias("label"), total.alias("score"), F.lit(i).alias("ord")))
     return low.select("doc_id", F.explode(F.array(*scores)).alias("_s")).select("doc_id", "_s.label", "_s.score", "_s.ord")
 

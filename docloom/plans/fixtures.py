@@ -19,6 +19,11 @@ TEXTS = [
     ("d12", "Measuring range 10 to 5 bar, span 1,5 ... 20 mbar"),
     ("d13", "Range ratio. Measuring range 10:1 of 0 to 100 bar"),
     ("d14", ""),
+    ("d15", "Rosemount 3051CD beside a KROHNE H250 and the Endress+Hauser Promag 53; made by Emerson"),
+    ("d16", "Order No.: 7MF4033-1DA10-1AC6 page 12, panel KTP700 BASIC. Type: AB-12 x"),
+    ("d17", "Vegapuls 64 by VEGA. Ref. No. 6AV2123-2GB03-0AX0, SIMATIC HMI panel KTP700 Comfort, range 4 to 20 mm"),
+    ("d18", "Yokogawa EJA110E with 644H from Samson 3730-3; plage de mesure 0,5 à 1,5 bar"),
+    ("d19", "SIMATIC S7-1200 CPU 1214C DC/DC/DC. Product: controller. Category: PLC. Measuring range 0 to 10 bar"),
 ]
 VALUES = [
     ("plageMesureMin", "1,5 bar", "string"), ("plageMesureMax", "true", "boolean"), ("seuil", "none", "string"), ("hart", "Oui", "string"), ("sortieTOR", "0", "number"), ("hart", "maybe", "string"),

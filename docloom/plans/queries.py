@@ -1,5 +1,10 @@
-"""Queries over the driver's tables and the in-line relations, with SQL for each where SQL
-can express it.  All run over whole tables."""
+"""Queries over the driver's tables and over in-line relations, with SQL for each.
+
+Queries on tables read all rows and whole texts.  The domain rules run on in-line relations,
+as the tables hold no such vocabulary; where SQL can tell the rule, the texts of
+``documents`` are read beside them.  Their SQL states expected values that were worked out
+by hand from the rules, or the rule in terms of its own.
+"""
 
 from __future__ import annotations
 
@@ -44,14 +49,15 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- scores ------------------------------------------------------------------------
 
-_HITS = "len(regexp_extract_all({text}, '{p}'))"
+_HITS = "len(list_filter({text}, lambda x: x = '{p}'))"
 _SCORES = "scores as (" + " union all ".join(
     "select doc_id, '{0}' as label, {1}::integer as ord, ({2})::double as score from low".format(
-        label, i, " + ".join(f"{p.weight} * {_HITS.format(text='t', p=p.pattern)} + {3 * p.weight} * {_HITS.format(text='left(t, 2000)', p=p.pattern)}" for p in C.LANGUAGE_LEXICON if p.value == label)
+        label, i, " + ".join(f"{weight} * {_HITS.format(text='w', p=word)} + {3 * weight} * {_HITS.format(text='h', p=word)}" for word, weight in words)
     )
-    for i, label in enumerate(dict.fromkeys(p.value for p in C.LANGUAGE_LEXICON))
+    for i, (label, words) in enumerate({"de": [("der", 2.0), ("und", 2.0), ("nicht", 3.0), ("ein", 1.0)], "en": [("the", 2.0), ("of", 1.5), ("and", 1.5), ("that", 2.0)], "es": [("que", 1.0), ("los", 2.0), ("por", 2.0), ("una", 2.0)], "fr": [("les", 2.0), ("des", 1.5), ("dans", 3.0), ("une", 2.0)]}.items())
 ) + ")"
-_LOW = "low as (select doc_id, lower(coalesce(text, '')) as t from documents)"
+_TOKENS = "regexp_split_to_array({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+_LOW = f"low as (select doc_id, {_TOKENS.format('t')} as w, {_TOKENS.format('left(t, 2000)')} as h from (select doc_id, lower(coalesce(text, '')) as t from documents))"
 _WINNER = """ranked as (select doc_id, label, score, row_number() over (partition by doc_id order by score desc, ord) as rn, lead(score) over (partition by doc_id order by score desc, ord) as second from scores),
 best as (select doc_id, label, score, coalesce(second, 0) as second from ranked where rn = 1 and score > 0),
 won as (select doc_id, label, least(1.0, 0.60 + (score - second) / 30.0)::double as confidence from best where not (score - second < 3 and second > 0 and score / second < 2))"""
@@ -148,9 +154,7 @@ def html_text_extract(spark, sf_dir):
 
 @query("select i.item_id, d.doc_id from benchmark i join documents d on contains(lower(d.text), lower(trim(i.text)))")
 def quote_exact_match(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("quote"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    return texts.join(items, F.contains("low", F.col("quote"))).select("item_id", "doc_id")
+    return retrieve.quote_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("select doc_id, case when length(text) >= 5 and regexp_matches(text, '[0-9]') and regexp_matches(text, '\\p{L}') then true else false end as referencelike from documents")
@@ -211,12 +215,6 @@ def self_retrieval_rate(spark, sf_dir):
     return retrieve.self_retrieval(retrieve.cosine_topk(v.drop("label"), q.drop("label"), k=2, skip_self=False))
 
 
-@query()
-def lsh_topk(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir)
-    return retrieve.lsh_topk(v, q)
-
-
 # --- the correction log, on events -------------------------------------------------
 
 
