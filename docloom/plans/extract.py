@@ -141,12 +141,12 @@ def ask_fields(known: DataFrame, fields: DataFrame, hits: DataFrame, catalog: Da
 def extract_with_model(documents: DataFrame, hits: DataFrame, technologies: DataFrame, catalog: DataFrame, ask: Callable[[DataFrame], DataFrame], corrections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, evidence): tags and classifier first, then the fields that decide which
     others apply, then the rest, each only where nothing is known yet."""
-    sure = V.resolve(tag_fields(documents).unionByName(classify(documents)))
+    sure = V.resolve(tag_fields(documents).unionByName(classify(documents))).persist()  # read at every step
     parts, proof = sure, sure.select("doc_id", "field", F.concat_ws(": ", "source", "value").alias("text"), "confidence", "source")
     for first in (True, False):
         fields = catalog.where(F.col("field").isin(C.FIRST_FIELDS) == first).select("field")
         answers = ask_fields(contexts(documents, parts), fields, hits, catalog, ask, corrections).join(parts.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
-        found = answers.where("value is not null").withColumn("source", F.lit("model"))
+        found = answers.where("value is not null").withColumn("source", F.lit("model")).persist()  # asked once
         parts = parts.unionByName(found.select(*parts.columns))
         proof = proof.unionByName(found.select("doc_id", "field", F.col("quote").alias("text"), "confidence", "source"))
     return V.guard_records(V.wide_records(parts), technologies), proof

@@ -64,7 +64,7 @@ def frame(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(ROWS[name], SCHEMAS[name])
 
 
-def _literal(v) -> str:
+def literal(v) -> str:
     if v is None:
         return "NULL"
     if isinstance(v, bool):
@@ -72,7 +72,7 @@ def _literal(v) -> str:
     if isinstance(v, str):
         return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
     if isinstance(v, list):
-        return "[" + ", ".join(map(_literal, v)) + "]"
+        return "[" + ", ".join(map(literal, v)) + "]"
     return repr(v)
 
 
@@ -82,6 +82,6 @@ _SQL = {"string": "varchar", "int": "integer", "double": "double", "boolean": "b
 def values_sql(name: str) -> str:
     """The relation as a typed SELECT over VALUES."""
     columns = [c.split(" ", 1) for c in SCHEMAS[name].split(", ")]
-    rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in ROWS[name])
+    rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in ROWS[name])
     casts = ", ".join(f"{n}::{_SQL[t]} AS {n}" for n, t in columns)
     return f"(SELECT {casts} FROM (VALUES {rows}) AS v({', '.join(n for n, _ in columns)}))"

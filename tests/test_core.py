@@ -203,6 +203,103 @@ def test_ports(spark):
     assert got["marque"].value == "VEGA" and got["code"].value is None and got["code"].error == "invalid JSON" and got["code"].confidence == 0.0
 
 
+def test_two_makers_and_order_numbers(spark):
+    found = lambda t: {r.field: r.value for r in extract.regex_fields(texts(spark, t)).collect()}
+    assert found("Rosemount and Emerson")["marque"] == "Emerson" and found("KROHNE, Endress & Hauser")["marque"] == "Endress & Hauser"
+    assert found("Order No. 6AV2123-2GB03-0AX0 with KTP700 BASIC")["modele"] == "SIMATIC HMI KTP700 BASIC"
+    plc = found("Programmable logic controller. Device Name: X1. Measuring range 0 to 10 bar. Category: PLC")
+    assert plc["equipmentName"].startswith("X1") and not {"plageMesure", "categorie", "typeMesure"} & set(plc)
+    assert len(C.REGEX_BRANDS) == 72 and sum(map(len, C.REGEX_MODELS.values())) == 76 and len(C.FIELD_QUERIES) == 27
+    assert found("span " + "x" * 190 + " 0 to 5 bar and 0 to 9 bar")["plageMesure"] == "0.0..5.0 bar" and "plageMesure" not in found("span " + "x" * 200 + " 0 to 5 bar")
+
+
+def test_table_blocks_stay_whole(spark):
+    units = one(spark, T.sentence_units(F.lit("One. Two.[TABLE DATA] A. B.\nC. D.")))
+    assert units == ["One.", "Two.", "[TABLE DATA]\nA. B.\nC. D."]
+    assert one(spark, T.merge_units(F.array(*map(F.lit, ["x", "[TABLE DATA] a", "b"])))) == ["x [TABLE DATA] a", "b"]
+    many = [("w" * (i * 7919 % 60 + 1)) for i in range(700)]
+    want = many[:1]
+    for u in many[1:]:
+        want[-1:] = [want[-1] + " " + u] if len(want[-1]) < 40 else [want[-1], u]
+    assert one(spark, T.merge_units(F.array(*map(F.lit, many)))) == want
+    pages = spark.createDataFrame([("d", 1, "Some text here.", ["a | b"])], "doc_id string, page_number int, text string, tables array<string>")
+    assert chunks.with_tables(pages).first().text == "Some text here.\n\n[TABLE DATA]\na | b"
+
+
+def test_model_chain_to_files(spark, tmp_path):
+    docs = texts(spark, "VEGA level sensor, accuracy ±0.5 % of span. Approved ATEX.", "plain")
+    catalog = C.field_catalog(spark)
+    hits = docs.join(catalog.select("field")).select("doc_id", "field", F.lit(1).alias("position"), "text", F.lit(0.1).alias("distance"), F.lit(None).cast("double").alias("rerank_score"))
+    ask = ports.extraction_port(ports.pattern_answerer({"precision": r"(±[\d.]+ %)", "category": r"(sensor)", "code": r"(VEGA)"}))
+    records, proof = extract.extract_with_model(docs, hits, C.type_technologies(spark), catalog, ask)
+    extract.write_results(records, proof, str(tmp_path / "run"))
+    got = {r.doc_id: r for r in spark.read.json(str(tmp_path / "run_extracted")).collect()}
+    assert (got["d0"].precision, got["d0"].marque, got["d0"].code) == ("±0.5 %", "VEGA", "LT")
+    evidence = {r.doc_id: r.evidence.asDict(recursive=True) for r in spark.read.json(str(tmp_path / "run_evidence")).collect()}
+    assert evidence["d0"]["precision"][0]["text"] == "±0.5 %" and evidence["d0"]["code"][0]["source"] == "classifier"
+    failing = ports.extraction_port(lambda p: 1 / 0)
+    one_field = spark.createDataFrame([("precision",)], "field string")
+    rows = extract.ask_fields(extract.contexts(docs, spark.createDataFrame([], "doc_id string, field string, value string")), one_field, hits, catalog, failing).collect()
+    assert {(r.value, r.confidence) for r in rows} == {(None, 0.0)} and all("ZeroDivisionError" in r.reason for r in rows)
+
+
+def test_answers_of_every_kind(spark):
+    answers = spark.createDataFrame([("d", "certificats", '{"value": ["ATEX", "FM"], "confidence": 1}', None), ("d", "hart", '{"value": true}', None), ("d", "seuil", '{"value": 2.5}', None), ("d", "code", '{"value": null}', None)], "doc_id string, field string, answer string, error string")
+    assert {r.field: (r.value, r.kind) for r in ports.parse_answers(answers).collect()} == {"certificats": ("ATEX|FM", "list"), "hart": ("true", "boolean"), "seuil": ("2.5", "number"), "code": (None, None)}
+
+
+def test_prompts_hold_rule_context_and_corrections(spark):
+    fields = spark.createDataFrame([("d", "marque", '{"category": "x"}')], "doc_id string, field string, context string")
+    excerpts = spark.createDataFrame([("d", "marque", "some text")], "doc_id string, field string, excerpts string")
+    past = spark.createDataFrame([("marque", "a", "b", "r", 1)], "field_name string, ai_value string, user_value string, rule string, position int")
+    prompt = ports.prompts(fields, excerpts, C.field_catalog(spark), past).first().prompt
+    assert all(x in prompt for x in ("Field: marque", "Rule: The maker", 'Known: {"category": "x"}', "AI: a -> user: b (rule: r)", "some text"))
+
+
+def test_tables_that_fail_lose_no_page(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ftwo")
+
+    def parser(content):
+        for i, page in enumerate(content.decode().split("\f")):
+            yield page, 0, (lambda: 1 / 0) if i == 0 else (lambda: [[["c"]]])
+
+    def breaks(content):
+        yield "first", 0, []
+        raise ValueError("second")
+
+    files = readers.documents(spark, str(tmp_path), "*.txt")
+    assert [(r.text, r.tables) for r in readers.parse_pages(files, parser).orderBy("page_number").collect()] == [("one", []), ("two", [[["c"]]])]
+    assert [(r.page_number, r.text, r.error) for r in readers.parse_pages(files, breaks).orderBy("page_number").collect()] == [(1, "first", None), (2, None, "ValueError: second")]
+
+
+def test_small_pieces(spark, tmp_path):
+    pages = spark.createDataFrame([("b", 1, 100.0, 100.0)], "doc_id string, page_number int, width double, height double")
+    drawn = spark.createDataFrame([("b", 1, 0.0, 0.0, 50.0, 50.0)] * 2, "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double")
+    m = lines.layout_metrics(fixtures.frame(spark, "blocks"), pages, drawn).first()
+    assert (m.drawing_count, m.max_drawing_area_ratio) == (2, 0.25)
+    log = spark.createDataFrame([("f", "a", "b"), ("f", "a", "c")], "field_name string, ai_value string, user_value string")
+    assert feedback.already_there(log.where("user_value = 'c'").union(spark.createDataFrame([("f", "x", "c")], log.schema)), log).count() == 1
+    store = readers.Store(spark, str(tmp_path / "s"))
+    for _ in range(2):
+        store.replace("c", texts(spark, "text of some length"))
+    assert store.read("c").count() == 1
+    seen = []
+    readers.append_json(log, str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).json(str(tmp_path / "in"))
+    feedback.on_batch(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
+    assert sum(seen) == 2
+    grids = fixtures.frame(spark, "grids").select(F.lit("d").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(0).alias("table_no"), "cells")
+    assert [r.chunk_id for r in chunks.table_chunks(grids).orderBy("chunk_id").collect()] == ["d_p1_t0_r0", "d_p1_t0_r1", "d_p1_t0_r2", "d_p1_t0_summary"]
+    assert readers.newest_files(spark, str(tmp_path / "in"), 1).count() == 1
+    assert {r.field for r in readers.schema_fields(spark.createDataFrame([('{"a": 1, "b": 2}',)], "json string")).collect()} == {"a", "b"}
+
+
+def test_quote_matches_short_and_long(spark):
+    docs = spark.createDataFrame([(1, "It was THE best of all days, then."), (2, "the bestof"), (3, None), (4, "xthe best of all daysx")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(0, " the best of all days "), (1, "best"), (2, "e best of all d"), (3, None), (4, "a b c d e")], "item_id long, text string")
+    assert sorted(tuple(r) for r in retrieve.quote_matches(docs, quotes).collect()) == [(0, 1), (0, 4), (1, 1), (1, 2), (1, 4), (2, 1), (2, 4)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("page one\fpage two")
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
