@@ -85,21 +85,31 @@ def reference(text: Column) -> Column:
     return out
 
 
+def first_of_many(text: Column, patterns: list[C.Pattern], groups: list[str] | None = None, own: Column | None = None) -> Column:
+    """``first_match`` (tidied) of a long table, as one array instead of a branch a pattern:
+    one pass tells whether any occurs, and only then each is tried.  With ``groups``, those
+    of the group whose name begins ``own`` come before the others."""
+    rows = [F.struct(F.lit(regex(p.pattern)).alias("r"), F.lit(p.value).cast("string").alias("v"), F.lit(p.weight).alias("w"), F.lit((groups or [""] * len(patterns))[i].lower()).alias("g"), F.lit(i).alias("i")) for i, p in enumerate(patterns)]
+    hits = F.filter(F.array(*rows), lambda x: F.rlike(text, x["r"]))
+    if own is not None:
+        first = lambda x: ~F.coalesce(F.startswith(F.lower(own), x["g"]), F.lit(False))
+        hits = F.array_sort(F.transform(hits, lambda x: F.struct(first(x).alias("far"), x["i"].alias("i"), x["r"].alias("r"), x["v"].alias("v"), x["w"].alias("w"))))
+    best = F.get(F.when(gate(text, [p.pattern for p in patterns]), hits), F.lit(0))
+    part = lambda k: strip(F.call_function("regexp_extract", text, best["r"], F.lit(k)))
+    value = F.coalesce(best["v"], F.regexp_replace(part(1), r"\s+", " ")) if any(p.value is None for p in patterns) else best["v"]
+    return F.when(best.isNotNull(), F.struct(value.alias("value"), best["w"].alias("confidence"), part(0).alias("quote")))
+
+
 def brand(text: Column) -> Column:
     """The first known maker, as a whole word."""
-    names = [C.Pattern(rf"(?<!\w)\Q{b}\E(?!\w)", b) for b in C.REGEX_BRANDS]
-    return F.when(gate(text, [p.pattern for p in names]), first_match(text, names))
+    return first_of_many(text, [C.Pattern(rf"(?<!\w)\Q{b}\E(?!\w)", b) for b in C.REGEX_BRANDS])
 
 
 def model(text: Column, known: Column) -> Column:
     """The first model pattern, those of the known maker (whose name may be longer) before
     the others; else what a label names."""
-    every = [C.Pattern(p, None) for own in C.REGEX_MODELS.values() for p in own]
-    first = F.lit(None).cast("struct<value:string,confidence:double,quote:string>")
-    for maker, own in reversed(C.REGEX_MODELS.items()):
-        named = F.startswith(F.lower(known), F.lit(maker.lower()))
-        first = F.when(F.coalesce(named, F.lit(False)), first_match(text, [C.Pattern(p, None) for p in own], tidy=True)).otherwise(first)
-    found = F.when(gate(text, [p.pattern for p in every]), F.coalesce(first, first_match(text, every, tidy=True)))
+    table = [(maker, C.Pattern(p, None)) for maker, own in C.REGEX_MODELS.items() for p in own]
+    found = first_of_many(text, [p for _, p in table], [m for m, _ in table], known)
     return F.coalesce(found, first_match(text, [C.Pattern(C.MODEL_LABEL, None, 0.75)], tidy=True))
 
 

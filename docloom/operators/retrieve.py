@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import first_words
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -170,3 +172,17 @@ def self_retrieval(found: DataFrame) -> DataFrame:
     """(n, hits, rate) of (query_id, vec_id) rows: queries that found themselves."""
     per = found.groupBy("query_id").agg(F.max((F.col("query_id") == F.col("vec_id")).cast("int")).alias("hit"))
     return per.agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("rate"))
+
+
+def search_report(hits: DataFrame, queries: DataFrame, most: float | None = None, top: int = 3) -> DataFrame:
+    """(query_id, found, top): of each query whether anything was found, up to a distance, and
+    its first hits (rank, vec_id, distance)."""
+    rows = within(hits, most).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "distance"))), 1, top).alias("top"))
+    return queries.select("query_id").join(rows, "query_id", "left").select("query_id", F.col("top").isNotNull().alias("found"), "top")
+
+
+def probe_self(chunks: DataFrame, embed: Callable[[Column], Column], n: int = 5, words: int = 5, k: int = 2) -> DataFrame:
+    """``self_retrieval`` with the first words of the first ``n`` chunks (vec_id, text,
+    embedding) as queries."""
+    queries = chunks.orderBy("vec_id").limit(n).select(F.col("vec_id").alias("query_id"), embed(first_words(F.col("text"), words)).alias("embedding"))
+    return self_retrieval(cosine_topk(chunks.select("vec_id", "embedding"), queries, k=k, skip_self=False))

@@ -245,6 +245,13 @@ def self_retrieval_rate(spark, sf_dir):
     return retrieve.self_retrieval(retrieve.cosine_topk(v.drop("label"), q.drop("label"), k=2, skip_self=False))
 
 
+@query(f"with {_V}, {_NEAR.format(d=_DIST, on='', x='')}, top as (select *, row_number() over (partition by query_id order by distance, vec_id)::integer as rank from near) select q.vec_id as query_id, count(t.rank) > 0 as found, min(t.vec_id) filter (t.rank = 1) as best from v q left join top t on t.query_id = q.vec_id and t.rank <= 5 and t.distance <= 0.6 where q.vec_id % 20 = 0 group by 1")
+def search_found(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    report = retrieve.search_report(retrieve.cosine_topk(v.drop("label"), q.drop("label")), q, 0.6)
+    return report.select("query_id", "found", F.try_element_at("top", F.lit(1))["vec_id"].alias("best"))
+
+
 # --- the correction log, on events -------------------------------------------------
 
 
@@ -529,6 +536,12 @@ def asked_fields(spark, sf_dir):
     return extract.ask_fields(known, fields, hits, catalog, ports.extraction_port(ports.pattern_answerer(ANSWERS))).drop("quote")
 
 
+@query("select field, unnest(options) as option from (values ('category', ['Transmetteur/Capteur', 'Actionneur']), ('typeMesure', ['Pression', 'Débit', 'Température', 'Niveau', 'Analyse procédé']), ('signalSortie', ['4-20mA', '0-20mA', '0-5V', '0-10V', '-/+5V', '-/+10V', 'Autre']), ('alimentation', ['boucle', '24VDC', '24VAC', '220VAC', 'Autre']), ('communication', ['non', 'HART', 'Modbus', 'Profibus', 'Profinet', 'NFC', 'Autre']), ('matériauMembrane', ['316L', 'Hastelloy', 'PTFE', 'Céramique', 'Autre']), ('nombreFils', ['2', '3', '4', '5'])) v(field, options)")
+def option_lists(spark, sf_dir):
+    shown = ["category", "typeMesure", "signalSortie", "alimentation", "communication", "matériauMembrane", "nombreFils"]
+    return C.option_lists(spark).where(F.col("field").isin(shown)).select("field", "option")
+
+
 @query("select type, unnest(codes) as code from (values " + ", ".join(f"('{t}', [{', '.join(repr(c) for c in codes)}])" for t, codes in C.TYPE_CODES.items()) + ") v(type, codes)")
 def type_code_options(spark, sf_dir):
     return C.type_codes(spark).select("type", "code")

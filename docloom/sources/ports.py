@@ -6,7 +6,9 @@ stand-ins are deterministic and say nothing about model quality.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import catalog as C
-from ..functions.text import char_windows
+from ..functions.text import char_windows, ocr_text
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -79,20 +81,86 @@ def overlap_reranker(text: Column, instruction: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(F.lower(text), w))).cast("double")
 
 
-def extraction_port(ask: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
+def probe_width(embed: Embedder, fallback: int = 768) -> int:
+    """The width of an embedder's vectors, by one short text."""
+    try:
+        return len(embed(["probe"])[0]) or fallback
+    except Exception:
+        return fallback
+
+
+def render_port(render: Callable[[bytes, int], bytes]) -> Callable[[DataFrame], DataFrame]:
+    """A frame function (path, content, page_number) -> (path, page_number, image): pages as
+    base64 images, empty where rendering fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            images = []
+            for content, n in zip(b["content"], b["page_number"], strict=True):
+                try:
+                    images.append(base64.b64encode(render(content, int(n))).decode())
+                except Exception:
+                    images.append("")
+            yield pd.DataFrame({"path": b["path"], "page_number": b["page_number"], "image": images})
+
+    return lambda pages: pages.select("path", "content", "page_number").mapInPandas(run, "path string, page_number int, image string")
+
+
+def vision_port(read: Callable[[bytes], str], most: int = 12_000) -> Callable[[Column], Column]:
+    """A column function base64 image -> its text, tidied, at most ``most`` characters; empty
+    for no image and for failures."""
+
+    @pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for images in batches:
+            texts = []
+            for image in images:
+                try:
+                    texts.append(read(base64.b64decode(image)) if image else "")
+                except Exception:
+                    texts.append("")
+            yield pd.Series(texts, dtype=object)
+
+    return lambda image: F.left(ocr_text(run(image)), F.lit(most))
+
+
+def label_port(prepare: Callable[[bytes], dict[str, bytes]], read: Callable[[bytes], str]) -> Callable[[DataFrame], DataFrame]:
+    """A frame function (path, content) -> (doc_id, ord, text): the readings of an image's
+    prepared variants, in their order, as ``read_labels`` takes them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows += [(path, i, read(image)) for i, image in enumerate(prepare(content).values())]
+                except Exception:
+                    rows.append((path, 0, ""))
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "text"])
+
+    return lambda files: files.select("path", "content").mapInPandas(run, "doc_id string, ord int, text string")
+
+
+def extraction_port(ask: Callable[[str], str], limit: float = 30.0) -> Callable[[DataFrame], DataFrame]:
     """A frame function (doc_id, field, prompt) -> (doc_id, field, value, kind, confidence, quote,
-    error).  The answer is a JSON object; a failed call or broken JSON gives null and 0."""
+    error).  The answer is a JSON object; a call that fails or takes longer than ``limit``
+    seconds, and broken JSON, give null and 0."""
     schema = "doc_id string, field string, answer string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = ThreadPoolExecutor(1)
         for b in batches:
             rows = []
             for d, f, p in zip(b["doc_id"], b["field"], b["prompt"], strict=True):
                 try:
-                    rows.append((d, f, ask(p), None))
+                    rows.append((d, f, calls.submit(ask, p).result(limit), None))
                 except Exception as e:
+                    if isinstance(e, TimeoutError):  # the late call keeps its thread
+                        calls.shutdown(wait=False)
+                        calls = ThreadPoolExecutor(1)
                     rows.append((d, f, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["doc_id", "field", "answer", "error"])
+        calls.shutdown(wait=False)
 
     def apply(prompts: DataFrame) -> DataFrame:
         answered = prompts.select(F.col("doc_id").cast("string").alias("doc_id"), "field", "prompt").mapInPandas(run, schema)

@@ -60,6 +60,11 @@ def plain_text_parser(content: bytes) -> Iterator[tuple[str, int, list]]:
         yield page, 0, []
 
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(path, n_pages) of parsed pages; a document that could not be opened has none."""
+    return pages.groupBy("path").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n_pages"))
+
+
 # --- HTML --------------------------------------------------------------------------
 
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -119,6 +124,23 @@ def newest_files(spark: SparkSession, path: str, n: int = 2) -> DataFrame:
     return files.orderBy(F.desc("modificationTime"), "path").limit(n)
 
 
+def field_meta(spark: SparkSession, path: str, n: int = 2) -> DataFrame:
+    """(path, doc_id, field, rows) of the newest evidence files."""
+    newest = [r.path for r in newest_files(spark, path, n).collect()]  # ``n`` names
+    if not newest:
+        return spark.createDataFrame([], "path string, doc_id string, field string, rows string")
+    rows = spark.read.schema("doc_id string, evidence map<string, string>").json(newest)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "doc_id", F.explode("evidence").alias("field", "rows"))
+
+
+def wipe(spark: SparkSession, *paths: str) -> None:
+    """Deletes stores, logs and outputs; what is not there is no error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 # --- chunk store -------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Core operators: expected values worked out by hand from the rules, and properties."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,39 @@ def test_small_pieces(spark, tmp_path):
     assert {r.field for r in readers.schema_fields(spark.createDataFrame([('{"a": 1, "b": 2}',)], "json string")).collect()} == {"a", "b"}
 
 
+def test_image_ports(spark, tmp_path):
+    pages = spark.createDataFrame([("p", bytearray(b"ab"), 1), ("p", bytearray(b"ab"), 2)], "path string, content binary, page_number int")
+    images = ports.render_port(lambda content, n: content[:n] if n == 1 else 1 / 0)(pages)
+    read = ports.vision_port(lambda image: f" {image.decode()}  text\r\n" * 3, most=9)
+    assert [r.t for r in images.orderBy("page_number").select(read(F.col("image")).alias("t")).collect()] == ["a text\na ", ""]
+    found = {r.page_number: r.image for r in images.collect()}
+    assert found == {1: "YQ==", 2: ""}
+    labels = ports.label_port(lambda c: {"x": c, "y": c[:1]}, lambda image: image.decode())(pages.limit(1))
+    assert [tuple(r) for r in labels.orderBy("ord").collect()] == [("p", 0, "ab"), ("p", 1, "a")]
+    assert ports.probe_width(ports.hashing_embedder(8)) == 8 and ports.probe_width(lambda t: 1 / 0) == 768
+
+
+def test_late_answers_are_errors(spark):
+    slow = ports.extraction_port(lambda p: time.sleep(1) or "{}" if "slow" in p else '{"value": "x"}', limit=0.2)
+    got = {r.field: r for r in slow(spark.createDataFrame([("d", "a", "slow"), ("d", "b", "fast")], "doc_id string, field string, prompt string")).collect()}
+    assert got["a"].value is None and got["a"].error.startswith("TimeoutError") and got["b"].value == "x"
+
+
+def test_reports_and_admin(spark, tmp_path):
+    embed = ports.embedding_port(ports.hashing_embedder(16), width=16)
+    rows = spark.createDataFrame([(i, f"word{i} other{i} more{i} text{i} end{i} tail") for i in range(12)], "vec_id long, text string")
+    rows = rows.withColumn("embedding", embed(F.col("text")))
+    assert retrieve.probe_self(rows, embed).first().n == 5
+    pages = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", None, "bad")], "path string, page_number int, error string")
+    assert {r.path: r.n_pages for r in readers.page_counts(pages).collect()} == {"a": 2, "b": 0}
+    proof = spark.createDataFrame([("d", "marque", "VEGA", 0.9, "model")], "doc_id string, field string, text string, confidence double, source string")
+    extract.write_results(proof.select("doc_id"), proof, str(tmp_path / "r"))
+    meta = readers.field_meta(spark, str(tmp_path / "r_evidence/*.json")).collect()
+    assert [(r.doc_id, r.field) for r in meta] == [("d", "marque")] and "VEGA" in meta[0].rows
+    readers.wipe(spark, str(tmp_path / "r_evidence"), str(tmp_path / "never"))
+    assert not (tmp_path / "r_evidence").exists()
+
+
 def test_quote_matches_short_and_long(spark):
     docs = spark.createDataFrame([(1, "It was THE best of all days, then."), (2, "the bestof"), (3, None), (4, "xthe best of all daysx")], "doc_id long, text string")
     quotes = spark.createDataFrame([(0, " the best of all days "), (1, "best"), (2, "e best of all d"), (3, None), (4, "a b c d e")], "item_id long, text string")
