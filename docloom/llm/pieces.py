@@ -5,15 +5,17 @@ no longer piece holds), of which each distinct one is encoded once.  Distinct wo
 sorted, so that walking them is a depth-first walk of their trie: the forward states of a
 common prefix are kept on a stack and reused.
 
-A forward state holds the last piece of the best encoding of a prefix.  For unigram models
-it is the Viterbi choice (largest sum of scores).  A BPE model's merges are not the path of
-the largest sum, so there the choice among the pieces that end at a place is the only one
-that merges keep apart from the piece before it; the walk and its sharing are the same, and
-the result is exactly that of the merges.
+A forward state holds the last piece of the best encoding of a prefix.  The Viterbi choice
+is that with the largest sum of scores: this is how unigram models encode.  A BPE model's
+merges are not the path of the largest sum, so for its own ids the choice among the pieces
+that end at a place is the only one that merges keep apart from the piece before it.  One
+walk makes both states from the same trie and automaton, if both are wanted: a BPE
+vocabulary can also be read as a unigram model of the same scores.
 
 Unknown characters become byte pieces if the model has them, else its unknown piece.  A null
-text has null ids, an empty one none.  Repeated rows get equal results; an empty table gives
-no row; columns other than the id and the text are left behind.
+text has null ids, an empty one none.  Very long texts are encoded whole, word by word.
+Repeated rows get equal results; an empty table gives no row; columns other than the id and
+the text are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,29 +148,34 @@ class Model:
             at = self._fail[at]
         return to or 0
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct marked words, walked in sorted order with shared prefix states.
+    def encode_words(self, words: list[str], kinds: tuple[int, ...] | None = None) -> dict[str, tuple[list[int], ...]]:
+        """Ids of distinct marked words, one list for each of ``kinds`` (None: the model's),
+        walked in sorted order with shared prefix states.
 
-        Four stacks hold, for each prefix of the current word, the automaton's state, the
-        last piece (-1 none, -2 unknown character), where it begins, and the score so far.
+        Stacks hold, for each prefix of the current word, the automaton's state and, for each
+        kind, the last piece (-1 none, -2 unknown character) and where it begins; for the
+        Viterbi choice also the score so far.
         """
         if not hasattr(self, "_ends"):
             self._build()
-        out: dict[str, list[int]] = {}
-        bpe, ends, scores, step = self.kind == BPE, self._ends, self.scores, self._next
-        apart, stays_apart, byte = self._apart, self._stays_apart, self.bytes
+        kinds = kinds or (self.kind,)
+        out: dict[str, tuple[list[int], ...]] = {}
+        bpe, viterbi = BPE in kinds, UNIGRAM in kinds
+        ends, scores, step, unknown_score = self._ends, self.scores, self._next, self.unknown_score
+        apart, stays_apart = self._apart, self._stays_apart
         known: dict[int, int] = self._known
         if len(apart) > PAIRS:
             apart.clear()
         if len(known) > PAIRS:
             known.clear()
-        state, last, begin, total = [0], [-1], [0], [0.0]
+        state, merged, opened, best, begin, total = [0], [-1], [0], [-1], [0], [0.0]
         previous = ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
-            del state[shared + 1 :], last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
+            for stack in (state, merged, opened, best, begin, total):
+                del stack[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 c = ord(word[end - 1])
                 key = state[-1] << 21 | c
@@ -177,10 +184,12 @@ class Model:
                     to = known.get(key)
                     if to is None:
                         to = known[key] = self._follow(state[-1], c)
-                piece, start, score = -2, end - 1, 0.0
+                state.append(to)
+                here = ends[to]
                 if bpe:
-                    for i, size in ends[to]:
-                        before = last[end - size]
+                    piece, start = -2, end - 1
+                    for i, size in here:
+                        before = merged[end - size]
                         if before >= 0:
                             pair = before << 24 | i
                             fits = apart.get(pair)
@@ -190,37 +199,42 @@ class Model:
                                 continue
                         piece, start = i, end - size
                         break
-                else:
-                    best = None
-                    single = False
-                    for i, size in ends[to]:
+                    merged.append(piece)
+                    opened.append(start)
+                if viterbi:
+                    piece, start, score, single = -2, end - 1, total[end - 1] + unknown_score, False
+                    for i, size in here:
                         sum_ = total[end - size] + scores[i]
-                        single |= size == 1
-                        if best is None or sum_ > best:
-                            best, piece, start = sum_, i, end - size
-                    if not single and (best is None or total[end - 1] + self.unknown_score > best):
-                        best, piece, start = total[end - 1] + self.unknown_score, -2, end - 1
-                    score = best
-                state.append(to)
-                last.append(piece)
-                begin.append(start)
-                total.append(score)
-            ids: list[int] = []
-            at = len(word)
-            while at:
-                piece, start = last[at], begin[at]
-                if piece >= 0:
-                    ids.append(piece)
-                elif byte:
-                    ids += [byte[b] for b in reversed(word[start:at].encode())]
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
-                at = start
-            ids.reverse()
-            out[word] = ids
+                        if size == 1 and not single:  # a character that is a piece is not unknown
+                            single = True
+                            if piece == -2:
+                                piece, start, score = i, end - 1, sum_
+                                continue
+                        if sum_ > score:
+                            piece, start, score = i, end - size, sum_
+                    best.append(piece)
+                    begin.append(start)
+                    total.append(score)
+            out[word] = tuple(self._trace(word, merged, opened) if k == BPE else self._trace(word, best, begin) for k in kinds)
             previous = word
         return out
 
+    def _trace(self, word: str, last: list[int], begin: list[int]) -> list[int]:
+        """The ids of a word from its last pieces, backwards."""
+        ids: list[int] = []
+        at = len(word)
+        while at:
+            piece, start = last[at], begin[at]
+            if piece >= 0:
+                ids.append(piece)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in reversed(word[start:at].encode())]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+            at = start
+        ids.reverse()
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the mark that encoding put in front."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -234,9 +248,9 @@ def load(path: str) -> Model:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kinds: tuple[int, ...] | None = None) -> Encoder:
     """One encoder a worker process, so that its bounded caches outlive a task."""
-    return Encoder(load(path))
+    return Encoder(load(path), kinds)
 
 
 class MarkedWords(Words):
@@ -264,11 +278,11 @@ class MarkedWords(Words):
 
 
 class Encoder:
-    """A model with a cache of words by hash."""
+    """A model with a cache of words."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[int, list[int]] = {}
+    def __init__(self, model: Model, kinds: tuple[int, ...] | None = None):
+        self.model, self.kinds = model, kinds or (model.kind,)
+        self.known: dict[bytes, tuple[list[int], ...]] = {}
         self.raw_size = np.array([len(r) for r in model.raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.raw_all = np.frombuffer(b"".join(model.raw) or b"\0", np.uint8)
@@ -280,25 +294,44 @@ class Encoder:
             text = " ".join(x for x in text.split(" ") if x)
         return (" " + text if self.model.prefix and text else text).encode("utf-8", "replace")
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, bounds of each) of marked texts."""
+    def distinct(self, words: MarkedWords) -> tuple[list[bytes], np.ndarray]:
+        """(distinct words, which of them each word is).  They are grouped by hash; each is
+        then compared with the first of its group, and if any differs they go by their bytes."""
+        _, at, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        size = words.end - words.start
+        first = at[kind]
+        same = bool((size == size[first]).all())
+        if same and len(size):
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            same = np.array_equal(words.raw[within + np.repeat(words.start, size)], words.raw[within + np.repeat(words.start[first], size)])
+        spell = lambda k: words.raw[words.start[k] : words.end[k]].tobytes()
+        if same:
+            return [spell(k) for k in at.tolist()], kind
+        seen: dict[bytes, int] = {}
+        kind = np.array([seen.setdefault(spell(k), len(seen)) for k in range(len(size))])
+        return list(seen), kind
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind (ids of all texts, bounds of each) of marked texts."""
         words = MarkedWords(texts, self.model)
         if not len(words.start):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        distinct, at, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+            return [(np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)) for _ in self.kinds]
+        keys, kind = self.distinct(words)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [(k, words.raw[s:e].tobytes().decode().replace(" ", MARK)) for k, s, e in zip(keys, words.start[at].tolist(), words.end[at].tolist(), strict=True) if k not in self.known]
-        found = self.model.encode_words([w for _, w in new])
-        self.known.update((k, found[w]) for k, w in new)
-        ids = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), np.cumsum(size) - size
-        counts = size[kind]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        source = np.arange(bounds[-1]) + np.repeat(first[kind] - bounds[:-1], counts)
-        return flat[source], bounds[words.first]
+        new = {k.decode().replace(" ", MARK): k for k in keys if k not in self.known}
+        self.known.update((new[w], ids) for w, ids in self.model.encode_words(list(new), self.kinds).items())
+        found = [self.known[k] for k in keys]
+        out = []
+        for j in range(len(self.kinds)):
+            ids = [f[j] for f in found]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, first = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), np.cumsum(size) - size
+            counts = size[kind]
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            source = np.arange(bounds[-1]) + np.repeat(first[kind] - bounds[:-1], counts)
+            out.append((flat[source], bounds[words.first]))
+        return out
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """Marked texts of ids."""
@@ -309,29 +342,32 @@ class Encoder:
         return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def encode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, exact): piece ids of each text, and whether decoding them gives it back.
+def encode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", viterbi: bool = False) -> DataFrame:
+    """(id, ids, exact): piece ids of each text, and whether decoding them gives it back; with
+    ``viterbi`` also (viterbi_ids, viterbi_exact), those of the largest sum of scores.
 
     The model file must be at ``model_path`` on every worker.  Nothing is shuffled.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    names = ["ids", "exact", *(["viterbi_ids", "viterbi_exact"] if viterbi else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_path)
+        own = encoder(model_path, (load(model_path).kind, *([UNIGRAM] if viterbi else [])))
         front = b" " if own.model.prefix else b""
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             marked = [own.marked(t) if t else b"" for t in texts]
             for lo, hi in chunks([len(t) for t in marked], BLOCK_BYTES):
-                ids, bounds = own.encode(marked[lo:hi])
-                back = own.decode(ids, bounds)
-                exact = [t is not None and b == (front + t.encode("utf-8", "replace") if t else b"") for t, b in zip(texts[lo:hi], back, strict=True)]
                 null = pa.array([t is None for t in texts[lo:hi]])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(exact)], ["id", "ids", "exact"])
+                whole = [None if t is None else front + t.encode("utf-8", "replace") if t else b"" for t in texts[lo:hi]]
+                columns = []
+                for ids, bounds in own.encode(marked[lo:hi]):
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null))
+                    columns.append(pa.array([b == t for b, t in zip(own.decode(ids, bounds), whole, strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["id", *names])
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, ids array<int>, exact boolean")
+    return picked.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {'boolean' if n.endswith('exact') else 'array<int>'}" for n in names))
 
 
 def decode(df: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -353,9 +389,11 @@ def library(path: str = MODEL) -> sentencepiece.SentencePieceProcessor:
 
 
 def op7_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every whole text of ``documents``, and whether they decode to it."""
-    found = encode(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "exact")
+    """Piece ids of every whole text of ``documents``, by the model's merges and by the
+    largest sum of its scores, and whether they decode to it."""
+    found = encode(table(spark, sf_dir, "documents"), viterbi=True)
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), count("ids").alias("n_pieces"), "ids", "exact", count("viterbi_ids").alias("n_viterbi"), "viterbi_ids", "viterbi_exact")
 
 
 QUERIES = {"op7_sentencepiece_trie": op7_sentencepiece_trie}
