@@ -31,13 +31,13 @@ def components(links: DataFrame, scratch: Scratch, labels: DataFrame | None = No
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "to")
-        parents = scratch.keep(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("image")))
+        parents = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("image"))
         two = _up(parents, parents)
-        rounds.append(scratch.keep(_up(two, two)))
-        image = rounds[-1]
+        image = scratch.keep(_up(two, two))
+        rounds.append(image)
         left = edges.join(image.toDF("a", "ia"), "a").join(image.toDF("b", "ib"), "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
         shorter = scratch.keep(left.where("a != b").distinct())
-        scratch.drop(edges, parents)
+        scratch.drop(edges)
         edges = shorter
     if not rounds:
         return labels if labels is not None else edges.toDF("node", "label")
@@ -45,9 +45,9 @@ def components(links: DataFrame, scratch: Scratch, labels: DataFrame | None = No
     for more in rounds[1:]:
         found = _up(found, more)
     if labels is not None:
-        found = scratch.keep(found)
-        moved = _up(labels.toDF("node", "image"), found)
-        found = moved.unionByName(found.join(labels.select("node"), "node", "left_anti"))
+        found = _up(labels.toDF("node", "image"), found).unionByName(found.join(labels.select("node"), "node", "left_anti"))
+    elif len(rounds) == 1:
+        return found.toDF("node", "label")
     out = scratch.keep(found.toDF("node", "label"))
     scratch.drop(*rounds)
     return out

@@ -2,9 +2,9 @@
 
 One hash of each shingle fills ``BANDS * ROWS`` bins with their least values; an empty bin
 copies the first filled bin of its own random order of bins.  Bands of bins are buckets.
-Texts with one shingle set are one node, as are rows that share an id.  Within a bucket every node is paired with the
-bucket's least node alone (a star), and pairs are confirmed on whole shingle sets, first
-each node's most frequent centre, then the stars' other edges between different components.
+Texts with one shingle set are one node.  Within a bucket every node is paired with that of
+the smallest id alone (a star), and pairs are confirmed on whole shingle sets, first each
+node's most frequent centre, then the stars' other edges between different components.
 Buckets whose nodes then still belong to several components are searched so that a star
 costs no link, without a look at every pair:
 
@@ -14,10 +14,12 @@ costs no link, without a look at every pair:
   ``RARE``**2 / 2 pairs.
 * Nodes confirmed with one centre are a cluster of known radius.  As one minus similarity is
   a metric, no node of one cluster can be linked with one of another if their centres are
-  further apart than 1/4 plus both radii.  So centres are compared first, then the nodes of
-  the clusters that are left with the centre of the other, and nodes alone that may still
-  reach each other.  Each step's links are put together first, so that what they join needs
-  no look.  Pages of one template thus cost pairs of clusters, not pairs of pages.
+  further apart than 1/4 plus both radii, and no node of one if they are further apart than
+  1/4, its own distance and the other's radius.  So centres are compared first, and what
+  they link needs no look.  Nodes of the smaller cluster that may still reach the larger one
+  then meet its nodes: up to ``GUESTS`` of their whole sets are held by a task, past which
+  the larger cluster's texts stream.  Pages of one template thus cost pairs of clusters, not
+  pairs of pages, and no pairs of nodes are written.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75**7)**72 = 3e-5.
 
@@ -50,6 +52,8 @@ SHINGLE = 5
 PERCENT = 75
 STAR_CHUNK = 64
 RARE = 24
+GUESTS = 512
+HOSTED = 16_384
 BLOCK_BYTES = 1 << 19
 BROADCAST_IDS = 2_000_000
 
@@ -142,6 +146,41 @@ def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "shingles"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (host, part, share, role): texts of guests, whose sets are held as one
+    sorted array, then those of the nodes that they meet, each counted against all guests at
+    once.  Gives the pairs (a, b) that are similar enough."""
+    key, held, names = None, [], []
+    hashes, owner, sizes, own = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in slices(batches):
+        place = [tuple(x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        role, node, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5))
+        for lo, hi in chunks([len(t) for t in texts], BLOCK_BYTES):
+            sets, found = shingle_sets(texts[lo:hi], size), []
+            for i in range(lo, hi):
+                if place[i] != key:
+                    key, held, names, own = place[i], [], [], None
+                if role[i] == 0:
+                    held.append(sets[i - lo])
+                    names.append(node[i])
+                    continue
+                if not held:
+                    continue
+                if own is None:
+                    own, sizes = np.array(names, np.int64), np.array([len(s) for s in held])
+                    hashes, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(hashes, kind="stable")
+                    hashes, owner = hashes[order], owner[order]
+                s = sets[i - lo]
+                first, last = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
+                runs = last - first
+                at = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(first, runs)
+                common = np.bincount(owner[at], minlength=len(own))
+                alike = (100 * common >= percent * (sizes + len(s) - common)) & (own != node[i])
+                found += [(x, node[i]) for x in own[alike].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def rare_shingles(texts: DataFrame, scratch: Scratch, size: int = SHINGLE, most: int = RARE) -> DataFrame:
     """(node, shingle, holders) of the shingles that at most ``most`` of the texts hold.
     Holders are counted before the shuffle; the join drops frequent shingles."""
@@ -157,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int = SH
     A centre with many partners is dealt out in chunks of about ``STAR_CHUNK`` partners,
     each with its own copy of the centre's text.
     """
-    hot = scratch.keep(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > STAR_CHUNK))
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > STAR_CHUNK)
     many = F.ceil(F.coalesce("n", F.lit(1)) / STAR_CHUNK)
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), many).cast("int").alias("chunk"))
     centres = dealt.select("a", "chunk").distinct().join(texts.toDF("a", "text"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
@@ -215,39 +254,42 @@ def search_mixed(members: DataFrame, leaders: DataFrame, links: Links, scratch:
         return free.where(100 * F.col("free") >= percent * F.col("n"))
 
     # Pairs that share a rare shingle.
-    own = scratch.keep(rare.where("holders > 1").select("node", "shingle").join(enough("own"), "node"))
+    own = rare.where("holders > 1").select("node", "shingle").join(enough("own"), "node")
     left, right = own.toDF("a", "shingle", "na", "fa"), own.toDF("b", "shingle", "nb", "fb")
     bound = (100 + percent) * F.least("fa", "fb") >= percent * (F.col("na") + F.col("nb"))
-    links.check(left.join(right, "shingle").where((F.col("a") < F.col("b")) & bound).select("a", "b"))
+    by_shingle = left.join(right, "shingle").where((F.col("a") < F.col("b")) & bound).select("a", "b")
     # Pairs that share others: between clusters, by way of their centres.
     rows = held.select("band", "node", "label").join(enough("rare"), "node").join(leaders, "node", "left")
     rows = scratch.keep(rows.select("band", "node", "n", "free", "label", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    radius = scratch.keep(rows.groupBy("pivot").agg(F.max("d").alias("r")))
-    met = scratch.keep(rows.groupBy("band", "pivot").agg(F.min("label").alias("label"), F.max("free").alias("free"), F.min("n").alias("n")))
+    met = rows.groupBy("band", "pivot").agg(F.min("label").alias("label"), F.max("free").alias("free"), F.min("n").alias("n"))
     left, right = met.toDF("band", "p", "lp", "fp", "np"), met.toDF("band", "q", "lq", "fq", "nq")  # a cluster has one label
     bound = (100 + percent) * F.least("fp", "fq") >= percent * (F.col("np") + F.col("nq"))
-    pivots = scratch.keep(left.join(right, "band").where((F.col("p") < F.col("q")) & (F.col("lp") != F.col("lq")) & bound).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-    if pivots.isEmpty():
+    meet = scratch.keep(left.join(right, "band").where((F.col("p") < F.col("q")) & (F.col("lp") != F.col("lq")) & bound).select("band", "p", "q"))
+    apart = links.check(meet.select(F.col("p").alias("a"), F.col("q").alias("b")).unionByName(by_shingle))
+    if apart is None:
         return
-    apart = confirm(pivots, links.texts, scratch, size)
-    links.labels = components(links.similar(apart), scratch, links.labels)
-    reach, slack = 1 - percent / 100, 1e-9
-    near = _distance(apart).toDF("p", "q", "dpq").join(radius.toDF("p", "rp"), "p").join(radius.toDF("q", "rq"), "q")
-    near = near.where((F.col("rp") + F.col("rq") > 0) & (F.col("dpq") <= reach + slack + F.col("rp") + F.col("rq"))).select("p", "q")
-    near = scratch.keep(near.union(near.select("q", "p")))
-    if near.isEmpty():
+    inside = scratch.keep(rows.groupBy("node", "pivot").agg(F.min("d").alias("d")))
+    reach = 1 - percent / 100 + 1e-9
+    sizes = scratch.keep(inside.groupBy("pivot").agg(F.max("d").alias("r"), F.count("*").alias("size")))
+    near = _distance(apart).toDF("p", "q", "apart").join(sizes.toDF("p", "rp", "np"), "p").join(sizes.toDF("q", "rq", "nq"), "q")
+    near = near.where((F.col("np") + F.col("nq") > 2) & (F.col("apart") <= reach + F.col("rp") + F.col("rq")))
+    known = links.labels.select("node", "label")
+    near = near.join(known.toDF("p", "lp"), "p", "left").join(known.toDF("q", "lq"), "q", "left").where(F.coalesce("lp", "p") != F.coalesce("lq", "q"))
+    # The smaller cluster's nodes that may reach the larger one go and meet its nodes.
+    down = F.struct("np", "p") <= F.struct("nq", "q")
+    near = near.select(F.when(down, F.col("p")).otherwise(F.col("q")).alias("pivot"), F.when(down, F.col("q")).otherwise(F.col("p")).alias("host"), "apart", F.when(down, F.col("rq")).otherwise(F.col("rp")).alias("r"))
+    guests = scratch.keep(near.join(inside, "pivot").where(F.col("apart") <= reach + F.col("d") + F.col("r")).select("host", "node").distinct())
+    if guests.isEmpty():
         return
-    # Nodes against the other cluster's centre (of their own they have the distance).
-    inside = scratch.keep(rows.select("node", "pivot", "d").distinct())
-    other = near.join(inside.toDF("node", "p", "d"), "p").select(F.col("q").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    seen = confirm(scratch.keep(other), links.texts, scratch, size)
-    links.labels = components(links.similar(seen), scratch, links.labels)
-    far = _distance(seen).toDF("q", "node", "dq").join(radius.toDF("q", "rq"), "q").where(F.col("dq") > reach + slack + F.col("rq")).select("q", "node")
-    ends = near.join(rows.toDF("band", "node", "n", "free", "label", "p", "d"), "p").join(scratch.keep(far), ["q", "node"], "left_anti")
-    ends = scratch.keep(ends.select("band", "p", "q", "node", "n", "free"))
-    left, right = ends.toDF("band", "p", "q", "a", "na", "fa"), ends.toDF("band", "q", "p", "b", "nb", "fb")
-    bound = (100 + percent) * F.least("fa", "fb") >= percent * (F.col("na") + F.col("nb"))
-    links.check(left.join(right, ["band", "p", "q"]).where((F.col("a") < F.col("b")) & bound).select("a", "b"))
+    deal = guests.groupBy("host").agg(F.count("*").alias("n")).join(sizes.select(F.col("pivot").alias("host"), "size"), "host")
+    deal = scratch.keep(deal.select("host", F.ceil(F.col("n") / GUESTS).cast("int").alias("parts"), F.ceil(F.col("size") / HOSTED).cast("int").alias("shares")))
+    copy = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    coming = guests.join(deal, "host").select("host", own("parts").alias("part"), copy("shares").alias("share"), F.lit(0).alias("role"), "node")
+    there = inside.withColumnRenamed("pivot", "host").join(deal, "host").select("host", copy("parts").alias("part"), own("shares").alias("share"), F.lit(1).alias("role"), "node")
+    met = coming.unionByName(there).join(links.texts, "node").select("host", "part", "share", "role", "node", "text")
+    met = met.repartition("host", "part", "share").sortWithinPartitions("host", "part", "share", "role")
+    links.labels = components(met.mapInArrow(lambda it: _meet(it, size, percent), "a long, b long"), scratch, links.labels)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -261,12 +303,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A node for each shingle set; written, so that its number stays.
     sets = linkable.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash")).alias("_row"), F.max("n_shingles").alias("n"))
     classes = scratch.keep(sets.select("low", "high", "_row.*", "n", F.monotonically_increasing_id().alias("node")))
-    nodes = scratch.keep(linkable.join(classes, ["doc_id", "text_hash", "low", "high"]).select("node", "n", "bands").dropDuplicates(["node"]), compression="none")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = scratch.keep(keyed.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("band", "centre"))
-    members = scratch.keep(keyed.join(buckets, "band").select("band", "node", "n", "centre"))
+    nodes = scratch.keep(linkable.join(classes, ["doc_id", "text_hash", "low", "high"]).select("node", "doc_id", "n", "bands").dropDuplicates(["node"]), compression="none")
+    keyed = nodes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
+    # The centre has the smallest id: of a text and its edited copies mostly the text itself.
+    order = F.struct("doc_id", "node")
+    buckets = scratch.keep(keyed.groupBy("band").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").select("band", F.col("first.node").alias("centre"), F.col("first.doc_id").alias("centre_id")))
+    members = scratch.keep(keyed.join(buckets, "band").select("band", "node", "n", "centre", "centre_id"))
     scratch.drop(nodes)
-    stars = scratch.keep(members.where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("hits")))
+    stars = scratch.keep(members.where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("hits"), F.min("centre_id").alias("id")))
     wanted = scratch.keep(members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node"))
     few = wanted.count() <= BROADCAST_IDS
     texts = scratch.keep(documents.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
@@ -277,7 +321,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = Links(texts, scratch, size, percent, components(same, scratch))
     # Each node's most frequent centre; then the other edges of the stars.
-    first = links.check(stars.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"))
+    first = links.check(stars.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("id"), -F.col("a"))).alias("a")).select("a", "b"))
     if first is not None:
         second = links.check(stars.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"))
         near = _distance(links.similar(first if second is None else first.unionByName(second)))
