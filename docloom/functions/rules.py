@@ -161,10 +161,32 @@ def tag_code(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?U)\b({codes})\s*[-_]?\s*\d+", 1), F.lit(""))
 
 
-def tag_info(text: Column) -> Column:
-    """STRUCT(code, type, category) of the first loop tag, in any case, so that "at 4" counts."""
+def ascii_tag() -> str:
+    """The pattern of loop tags where words, spaces and digits are those of ASCII, so that a
+    word begins after an accented letter: "chéai 44" holds AI.
+
+    All is spelt out, as Java's ``\\b`` knows other letters even without flags, its ``\\s`` has
+    the vertical tab, and its case folding joins i with the Turkish ones; s folds with the
+    long s, k with the Kelvin sign.  Codes are grouped by their first letter, which is looked
+    at before the edge of the word.
+    """
+    word, space, folds = "[0-9A-Za-z_]", r"[\t\n\f\r ]*+", {"S": "ſ", "K": "\u212a"}
+    cases = lambda c: c + c.lower() + folds.get(c, "") if c.isalpha() else c
+    rest: dict[str, list[str]] = {}
+    for code in (c.upper() for own in C.TYPE_CODES.values() for c in own):
+        rest.setdefault(cases(code[0]), []).append("".join(f"[{cases(c)}]" for c in code[1:]))
+    edge = f"(?=[{''.join(rest)}])(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+    codes = "|".join(f"[{first}](?:{'|'.join(own)})" for first, own in rest.items())
+    return f"{edge}({codes}){space}(?:[-_]{space})?[0-9]"
+
+
+def tag_info(text: Column, pattern: str | None = None) -> Column:
+    """STRUCT(code, type, category) of the first loop tag, in any case, so that "at 4" counts.
+
+    Words, spaces and digits are those of Unicode, unless another ``pattern`` is given, whose
+    first group is the code."""
     codes = "|".join(c for own in C.TYPE_CODES.values() for c in own)
-    code = F.upper(F.regexp_extract(text, rf"(?iU)\b({codes})\s*[-_]?\s*\d+", 1))
+    code = F.upper(F.regexp_extract(text, pattern or rf"(?iU)\b({codes})\s*[-_]?\s*\d+", 1))
     letter = F.left(code, F.lit(1))
     kind = F.lit(None).cast("string")
     for k, v in C.LETTER_TYPE.items():

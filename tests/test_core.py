@@ -122,6 +122,20 @@ def test_rule_quirks(spark):
     assert one(spark, R.measuring_range(F.lit("Measuring range 10:1 of 0 to 100 bar"))) is None
 
 
+def test_isa_tag_info_equals_its_sql_beyond_ascii(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    found = {"on chéai 44.161.": "AI", "éPT-7": "PT", "fſ 4": "FS", "aſov 3": "SOV", "PT \n-\t\f\r 7": "PT", "pht_1": "PHT", "\U0001f600Co2t5": "CO2T", "at 4": "AT", "PT x, mtr 2": "MTR", "psv1": "PSV"}
+    none = ["aı 4", "aİ 4", "PT\x0b4", "PT\u00a04", "PT٣", "ſov 3", "aSOV 3", "_PT 3", "PT--3", "PT" + " " * 20000, "", None]
+    rows = list(enumerate([*found, *none], 1))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.isa_tag_info(spark, str(tmp_path)).collect())
+    assert {r[0]: r[1] for r in got if r[0].isdigit()} == {str(i): found[t] for i, t in rows if t in found}
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert got == sorted(db.execute(queries.ORACLE_SQL["isa_tag_info"]).fetchall())
+    assert one(spark, R.tag_info(F.lit("on chéai 44.161."))) is None
+
+
 def test_normalize_all(spark):
     got = [r.normal for r in queries.normalize_values(spark, "").collect()]
     assert got == ["1.5", "1.0", None, "true", "false", None, "4", "many", None, "bar", "-40...85 °C", None, "Actionneur", "Autre", "Débit", "Niveau", "PT", "PDT", "Autre", "Radar", "Autre", "4-20mA", "Autre", "boucle", "24VDC", "85-264VAC", "non", "HART", "Emerson (Rosemount)", "Acme", "PTFE", "IP68", "NEMA4X", "Vanne ON/OFF", "0.1 %", "Autre: x", None, None]
